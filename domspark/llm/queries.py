@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, exact_dedup, line_dedup, packing, url_filter
+from . import chat_format, decontaminate, exact_dedup, license_scan, line_dedup, near_dup, packing, pii, quality, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,16 +38,43 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_chunks", "removed_chunks", "removed_lines", F.length("text").cast("long").alias("n_chars"), F.sha2("text", 256).alias("text_sha256"))
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files. One that closes with a licence line is a licence file of the directory source/lang; the others lie below it."""
+    docs = table(spark, sf_dir, "documents")
+    licence_file = F.substring_index(F.coalesce("text", F.lit("")), "\n", -1).rlike("(?i)licen[sc]e")
+    lang = F.concat_ws("/", F.coalesce("source", F.lit("")), F.coalesce("lang", F.lit("")))
+    name = F.col("doc_id").cast("string")
+    path = F.when(licence_file, F.concat_ws("/", lang, name)).otherwise(F.concat_ws("/", lang, F.floor(F.col("doc_id") / 100).cast("string"), name))
+    out = license_scan.license_scan(docs.select(path.alias("path"), "text"), licence_file=licence_file)
+    return out.select(F.substring_index("path", "/", -1).cast("long").alias("doc_id"), *out.columns)
+
+
+def op3_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_dup(table(spark, sf_dir, "documents"), size=2, percent=80)
+
+
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.url_filter(table(spark, sf_dir, "pages"), url_filter.rules_frame(spark, URL_RULES))
 
 
+def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.personal_data(table(spark, sf_dir, "documents"))
+
+
 def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     turns = turns.union(spark.createDataFrame(EXTRA_TURNS, "conv_id long, turn long, role string, text string"))
     return chat_format.chat_digests(chat_format.chat_format(chat_format.thread_messages(turns)))
 
 
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -57,7 +84,19 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_line_dedup, op4_url_filter, op6_chat_format, op9_exact_dedup, op10_packing)
+    f.__name__: f
+    for f in (
+        op1_line_dedup,
+        op2_license_scan,
+        op3_near_dup,
+        op4_url_filter,
+        op5_personal_data,
+        op6_chat_format,
+        op7_decontaminate,
+        op8_quality,
+        op9_exact_dedup,
+        op10_packing,
+    )
 }
 
 _HOST = "translate(regexp_extract(coalesce(url, ''), '^[\\s\\S]*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
