@@ -77,22 +77,20 @@ def decode_html_bytes(data: bytes, label: str) -> str | None:
         return None
 
 
-@F.pandas_udf(HINT)
 def _sniff(data: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([sniff_html_encoding(bytes(d) if d is not None else b"") for d in data], columns=["detected_label", "canonical_label", "source", "helper_supported"])
 
 
-@F.pandas_udf("string")
 def _decode(data: pd.Series, label: pd.Series) -> pd.Series:
     return pd.Series([None if d is None or n is None else decode_html_bytes(bytes(d), n) for d, n in zip(data, label)], dtype=object)
 
 
 def encoding_hint(content: Column | str) -> Column:
-    return _sniff(content)
+    return F.pandas_udf(_sniff, HINT)(content)
 
 
 def decoded(content: Column | str, label: Column | str) -> Column:
-    return _decode(content, label)
+    return F.pandas_udf(_decode, "string")(content, label)
 
 
 def canonical_label(label: Column) -> Column:
