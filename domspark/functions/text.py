@@ -46,7 +46,7 @@ _ENTITY = re.compile("&(?:#(?:[xX]([0-9A-Fa-f]+)|([0-9]+))|(" + "|".join(ENTITIE
 
 def fold(s: str) -> str:
     """A-Z as a-z."""
-    return s.translate(_FOLD)
+    return s.lower() if s.isascii() else s.translate(_FOLD)
 
 
 def _decoded(m: re.Match) -> str:
@@ -69,7 +69,7 @@ def collapse_spaces(s: str) -> str:
 
 
 def class_set(value: str) -> list[str]:
-    return list(dict.fromkeys(x for x in _SPACES.split(value) if x))
+    return list(dict.fromkeys(x for x in _SPACES.split(value) if x)) if value else []
 
 
 # ---- the same as columns ----

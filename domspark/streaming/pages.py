@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from domspark.options import Options
-from domspark.plans.matching import Matcher
-from domspark.plans.selectors import is_local, parse_selector
+from domspark.plans.matching import Matcher, is_local
+from domspark.plans.selectors import parse_selector
 from domspark.sources.html import parse_html
 
 PAGES = "page_id long, url string, html string"
