@@ -143,6 +143,11 @@ for _name, _make, _sql in (
     ("ns_by_class", lambda d: d.get_elements_by_class_name("ad"), "1"),
     ("ns_by_id", lambda d: d.get_element_by_id("none"), "0"),
     ("ns_css_first", lambda d: d.css_first("li"), "1"),
+    ("ns_at", lambda d: d.css("li").at(3), "1"),
+    ("ns_at_beyond", lambda d: d.css("li").at(1000), "0"),
+    ("ns_first_element", lambda d: d.css("li").first_element(), "1"),
+    ("ns_last_element", lambda d: d.css("li").last_element(), "1"),
+    ("ns_chain", lambda d: d.css("nav").find("li").not_(":first-child").has_tag("li").children("a").closest("ul").parent(), "1"),
 ):
     _count(_name, _make, _sql)
 
@@ -437,6 +442,107 @@ SQL["selector_tools"] = """SELECT * FROM (VALUES
     ('a:unknown', 'a', false, 'a:unknown', 0, 0, 0, 1, ''),
     ('#id', '#id', true, '#id', 0, 1, 0, 0, 'id')) AS t(selector, spelled, valid, normalized, inline, ids, classes, elements, simple)"""
 
+_fixture(
+    "fixture_tokens",
+    [(1, "<script>a</p></SCRIPT >b"), (2, "<title>x&lt;y</title>"), (3, "<![CDATA[a<b]]>c"), (4, "<style>p</styleX></style>"), (5, "<plaintext>a</b>"), (6, "<svg><g/></svg>"), (7, "<?x?>1 < 2<!DOCTYPE Html><!foo-->"), (8, "<a B=c d e='f'g/>")],
+    lambda df: tokenize_html(df).select("page_id", "token_seq", "type", "name", "value", F.array_join(F.transform("attrs", N.attribute_to_string), " ").alias("attrs")),
+    "page_id, token_seq, type, name, value, attrs",
+    [(1, 0, "open", "script", "", ""), (1, 1, "text", "", "a</p>", ""), (1, 2, "close", "script", "", ""), (1, 3, "text", "", "b", "")]
+    + [(2, 0, "open", "title", "", ""), (2, 1, "text", "", "x<y", ""), (2, 2, "close", "title", "", "")]
+    + [(3, 0, "text", "", "a<b", ""), (3, 1, "text", "", "c", "")]
+    + [(4, 0, "open", "style", "", ""), (4, 1, "text", "", "p</styleX>", ""), (4, 2, "close", "style", "", "")]
+    + [(5, 0, "open", "plaintext", "", ""), (5, 1, "text", "", "a</b>", "")]
+    + [(6, 0, "open", "svg", "", ""), (6, 1, "text", "", "<g/>", ""), (6, 2, "close", "svg", "", "")]
+    + [(7, 0, "text", "", "1 ", ""), (7, 1, "text", "", "<", ""), (7, 2, "text", "", " 2", ""), (7, 3, "doctype", "html", "", ""), (7, 4, "comment", "", "foo", "")]
+    + [(8, 0, "close_self", "a", "", 'b="c" d e="f" g')],
+)
+
+
+def _codes(*cases: tuple[str, Options]) -> Callable[[DataFrame], DataFrame]:
+    def make(df: DataFrame) -> DataFrame:
+        out = None
+        for name, options in cases:
+            got = parse_errors(df.where(F.col("page_id") == int(name)), options).select("page_id", "err_seq", "code")
+            out = got if out is None else out.union(got)
+        return out
+
+    return make
+
+
+_fixture(
+    "fixture_limits",
+    [(1, "<a><b><c>deep</c></b></a>"), (2, "<br a b c>"), (3, "<br abc=1>"), (4, "<br a=xyz>"), (5, "<p>abc</p>"), (6, "<a></a><b></b>"), (7, "x"), (8, "<p></b><i>")],
+    _codes(
+        ("1", Options(max_depth=2)), ("2", Options(max_attributes=2)), ("3", Options(max_attribute_name_length=2)), ("4", Options(max_attribute_value_length=2)),
+        ("5", Options(max_text_length=2)), ("6", Options(max_tokens=3)), ("7", Options(max_tokens=0)), ("8", Options.strict()),
+    ),
+    "page_id, err_seq, code",
+    [(1, 0, "TooDeep"), (2, 0, "TooManyAttributes"), (3, 0, "AttributeTooLong"), (4, 0, "AttributeTooLong"), (5, 0, "TextTooLong"), (6, 0, "TooManyElements"), (6, 1, "UnclosedTag"), (7, 0, "InvalidHTML"), (8, 0, "MismatchedTag")],
+)
+
+
+def _texts(*cases: tuple[int, Options]) -> Callable[[DataFrame], DataFrame]:
+    def make(df: DataFrame) -> DataFrame:
+        out = None
+        for page, options in cases:
+            got = parse_html(df.where(F.col("page_id") == page), options).where(N.is_text()).select("page_id", "node_id", "text")
+            out = got if out is None else out.union(got)
+        return out
+
+    return make
+
+
+_fixture(
+    "fixture_text_options",
+    [(1, "<p> a \n b </p>"), (2, "<p> a </p> "), (3, "<p>a<br>b"), (4, "<p>a<br>b"), (5, "<p>&lt;&#65;&nbsp;"), (6, "<p>&lt;</p>"), (7, "<p>gone")],
+    _texts((1, Options(whitespace_mode="normalize")), (2, Options(whitespace_mode="trim")), (3, Options(br_handling="insert_newline")), (4, Options(br_handling="insert_custom", br_text="|")), (5, Options(text_processing_mode="decode")), (6, Options()), (7, Options(whitespace_mode="remove"))),
+    "page_id, node_id, text",
+    [(1, 5, " a b "), (2, 5, "a"), (3, 5, "a\n"), (3, 7, "b"), (4, 5, "a|"), (4, 7, "b"), (5, 5, "<A "), (6, 5, "&lt;")],
+)
+_fixture(
+    "fixture_preserve_case",
+    [(1, "<DIV><INPUT TYPE='CHECKBOX' CHECKED></DIV>")],
+    lambda df: Document(parse_html(df, Options(preserve_case=True))).css("input:checked").rows.select("tag", "tag_lc", F.array_join(F.transform("attrs", N.attribute_to_string), " ").alias("attrs")),
+    "tag, tag_lc, attrs",
+    [("INPUT", "input", 'TYPE="CHECKBOX" CHECKED')],
+)
+_fixture(
+    "fixture_void_elements",
+    [(1, "<body><x>a<y>b")],
+    lambda df: parse_html(df, Options(void_elements=frozenset({"x"}))).where("depth > 2").select("node_id", F.coalesce("tag", "text").alias("what"), "parent_id"),
+    "node_id, what, parent_id",
+    [(4, "x", 3), (5, "a", 3), (6, "y", 3), (7, "b", 6)],
+)
+_fixture(
+    "fixture_encodings",
+    [(1, "EFBBBF78"), (2, "FFFE7800"), (3, "3C6D65746120636861727365743D226762323331322220>D6D0".replace(">", "3E")), (4, "FF"), (5, "C3A9"), (6, "3C6D65746120636861727365743D6C6174696E313E80")],
+    lambda df: df.withColumn("content", F.unhex("html")).withColumn("h", encoding.encoding_hint("content")).select(
+        "page_id", F.col("h.detected_label").alias("detected"), F.col("h.canonical_label").alias("canonical"), F.col("h.source").alias("source"), F.col("h.helper_supported").alias("supported"),
+        F.coalesce(encoding.decoded("content", "h.canonical_label"), F.lit("-")).alias("text"), encoding.canonical_label(F.col("h.detected_label")).alias("column_label"),
+    ),
+    "page_id, detected, canonical, source, supported, text, column_label",
+    [
+        (1, "utf-8", "utf-8", "utf8_bom", True, "x", "utf-8"), (2, "utf-16le", "utf-16le", "utf16le_bom", True, "x", "utf-16le"), (3, "gb2312", "gbk", "meta_charset", True, '<meta charset="gb2312" >中', "gbk"),
+        (4, "", "", "none", False, "-", ""), (5, "utf-8", "utf-8", "utf8_heuristic", True, "é", "utf-8"), (6, "latin1", "windows-1252", "meta_charset", True, "<meta charset=latin1>€", "windows-1252"),
+    ],
+)
+_fixture(
+    "fixture_metadata",
+    [(1, '<title>A &amp; B</title><meta name=" Author " content="me"><meta property="og:x" content="y"><img src=i.png><a href=/1>a</a>'), (2, '<meta http-equiv="Content-Type" content="text/html; charset=gbk; x"><p>')],
+    lambda df: _metadata(df),
+    "page_id, title, charset, author, og, images",
+    [(1, "A & B", "", "me", "y", 1), (2, "", "gbk", "", "", 0)],
+)
+
+
+def _metadata(df: DataFrame) -> DataFrame:
+    p = Parsed.of(df)
+    images = D.get_all_images(p.nodes).groupBy("page_id").agg(F.count(F.lit(1)).cast("int").alias("images"))
+    named = lambda d, name: d.toDF("page_id", name)
+    out = D.title(p.nodes, p.texts).join(D.charset(p.pages, p.nodes), "page_id").join(named(D.get_meta_content(p.pages, p.nodes, "author"), "author"), "page_id")
+    out = out.join(named(D.get_meta_property(p.pages, p.nodes, "OG:X"), "og"), "page_id").join(images, "page_id", "left")
+    return out.withColumn("images", F.coalesce("images", F.lit(0)))
+
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each page its title and the targets of its navigation links."""
