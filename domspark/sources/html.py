@@ -24,7 +24,11 @@ NODES = (
 TOKENS = f"page_id long, token_seq int, type string, name string, value string, attrs {ATTRS}, public_id string, system_id string, force_quirks boolean"
 ERRORS = "page_id long, err_seq int, code string, message string, position int, line int, col int"
 TEXTS = "page_id long, page_text string"
+_NODE = NODES.removeprefix("page_id long, ").replace(" int", ": int").replace(" string", ": string").replace(" boolean", ": boolean").replace(" array", ": array").replace("::", ":")
+_ERROR = ERRORS.removeprefix("page_id long, ").replace(" int", ": int").replace(" string", ": string")
+WHOLE = f"page_id long, page_text string, nodes array<struct<{_NODE}>>, errors array<struct<{_ERROR}>>"
 CHUNK = 20_000  # rows of an output batch
+PAGES = 64  # pages of an output batch whose rows are pages
 
 
 def _arrow(ddl: str) -> pa.Schema:
@@ -36,7 +40,7 @@ def _arrow(ddl: str) -> pa.Schema:
 def _emit(ddl: str, rows_of: Callable[[str, object], list[tuple]]):
     """A function for mapInArrow over (page_id, html, context) that puts out the rows of each page behind its page_id."""
 
-    schema = _arrow(ddl)
+    schema, most = _arrow(ddl), PAGES if ddl == WHOLE else CHUNK
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -48,7 +52,7 @@ def _emit(ddl: str, rows_of: Callable[[str, object], list[tuple]]):
         for b in batches:
             for page, html, context in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 held += [(page, *row) for row in rows_of(html or "", context)]
-                if len(held) >= CHUNK:
+                if len(held) >= most:
                     yield batch()
                     held = []
         yield batch()
@@ -93,6 +97,17 @@ def parse_errors(pages: DataFrame, options: Options = Options(), page_id: str =
     return _over(pages, ERRORS, lambda h, c: [(i, *e) for i, e in enumerate(_parsed(h, c, options, False)[2])], page_id, html, context)
 
 
+def _whole(html: str, context, options: Options, fail: bool) -> list[tuple]:
+    tree, root, errors = _parsed(html, context, options, fail)
+    rows, text = node_rows(tree, root)
+    return [(text, rows, [(i, *e) for i, e in enumerate(errors)])]
+
+
+def parse_whole(pages: DataFrame, options: Options = Options(), page_id: str = "page_id", html: str = "html", context: str | None = None, fail: bool = True) -> DataFrame:
+    """(page_id, page_text, nodes, errors): a row for each page with all that its parse gives."""
+    return _over(pages, WHOLE, lambda h, c: _whole(h, c, options, fail), page_id, html, context)
+
+
 def token_rows(html: str, options: Options, context: str | None = None) -> list[tuple]:
     state, last = "data", ""
     if context is not None:
@@ -111,20 +126,28 @@ def tokenize_html(pages: DataFrame, options: Options = Options(), page_id: str =
 
 
 class Parsed:
-    """The tables of parsed pages. They are lazy; save() writes them once, so that many queries share one parse."""
+    """The tables of parsed pages. They are lazy; save() parses once and writes them, so that many queries share the parse."""
 
-    def __init__(self, nodes: DataFrame, texts: DataFrame, errors: DataFrame, pages: DataFrame):
-        self.nodes, self.texts, self.errors, self.pages = nodes, texts, errors, pages
+    def __init__(self, nodes: DataFrame, texts: DataFrame, errors: DataFrame, pages: DataFrame, whole: DataFrame | None = None):
+        self.nodes, self.texts, self.errors, self.pages, self._whole = nodes, texts, errors, pages, whole
 
     @classmethod
     def of(cls, pages: DataFrame, options: Options = Options(), page_id: str = "page_id", html: str = "html", context: str | None = None, fail: bool = True) -> Parsed:
         own = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(html).alias("html"))
-        return cls(parse_html(pages, options, page_id, html, context, fail), page_texts(pages, options, page_id, html, context, fail), parse_errors(pages, options, page_id, html, context), own)
+        given = (options, page_id, html, context)
+        return cls(parse_html(pages, *given, fail), page_texts(pages, *given, fail), parse_errors(pages, *given), own, parse_whole(pages, *given, fail))
 
     def save(self, path: str) -> Parsed:
-        for name in ("nodes", "texts", "errors", "pages"):
-            getattr(self, name).write.mode("overwrite").parquet(f"{path}/{name}")
-        return Parsed.load(self.nodes.sparkSession, path)
+        """Writes the tables below path. Parsing costs more than writing, so its rows are staged in path/whole and split from there."""
+        spark = self.nodes.sparkSession
+        tables = {"nodes": self.nodes, "texts": self.texts, "errors": self.errors, "pages": self.pages}
+        if self._whole is not None:
+            self._whole.write.mode("overwrite").parquet(f"{path}/whole")
+            whole = spark.read.parquet(f"{path}/whole")
+            tables |= {"nodes": whole.select("page_id", F.inline("nodes")), "texts": whole.select("page_id", "page_text"), "errors": whole.select("page_id", F.inline("errors"))}
+        for name, table in tables.items():
+            table.write.mode("overwrite").parquet(f"{path}/{name}")
+        return Parsed.load(spark, path)
 
     @classmethod
     def load(cls, spark, path: str) -> Parsed:
