@@ -6,9 +6,10 @@ first and a code of the second collection is the key of one table, so `tables` s
 all 64 tables once in about 1,800 cases, a pair of 0.9 once in some 900,000.
 
 Equal shingle sets are one class from the start, represented by their smallest doc_id. The classes that share a key are compared
-with the first of the key, and confirmed links are contracted to components. Keys that still hold several components are then
-compared further: the members outside the largest component against all others, best estimates first and more of them in each round,
-until nothing is left that could link two components. So no bucket is expanded into all its pairs, and no link between components is left out.
+with the first of the key, its hub, and confirmed links are contracted to components. A class's full set is kept by the hub's set: as bits
+of what it has of it, and the rest. Where the classes of a hub still are several components, those outside the largest are compared with
+all others of the hub by these, in blocks, and only links that join components come out. So no bucket is expanded into all its pairs as
+rows, no text is read again for it, and no link between components is left out.
 """
 
 from __future__ import annotations
@@ -24,8 +25,7 @@ from pyspark.sql import functions as F
 
 from ._shared import mixed, shingles, written
 
-BLOCK = 1024  # members of a key that one comparing task holds, besides the key's outsiders
-FIRST_PARTNERS = 4
+BLOCK = 1024  # members of a hub that one comparing task holds, besides the hub's outsiders
 
 
 def minhashes(hashes: np.ndarray, count: int) -> np.ndarray:
@@ -72,35 +72,45 @@ def _sign(size: int, tables: int, width: int):
     return run
 
 
-def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
-    small, large = sorted((len(a), len(b)))
-    if small * 100 < percent * large:
-        return False
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return 100 * both >= percent * (len(a) + len(b) - both)
+_MEASURED = "hub long, frame long, id long, n long, both long, bits binary, rest binary"
 
 
-def _confirm(size: int, percent: int):
+def framed(own: np.ndarray, frame: np.ndarray) -> tuple[int, bytes, bytes]:
+    """A set by a frame set: how many of the frame's members it has, which of them as bits, and its other members."""
+    inside = np.isin(frame, own, assume_unique=True)
+    return int(inside.sum()), np.packbits(inside).tobytes(), np.setdiff1d(own, frame, assume_unique=True).tobytes()
+
+
+def _measure(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = (None, None)
+        kinds = (pa.int64(),) * 5 + (pa.binary(),) * 2
+        names = [c.split()[0] for c in _MEASURED.split(", ")]
+        last = (None, None, 0)
         for batch in batches:
-            out = ([], [])
+            out: list[tuple] = []
             for a, b, ta, tb in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if last[0] != tb:
-                    last = (tb, shingles(tb, size))
-                if linked(shingles(ta, size), last[1], percent):
-                    out[0].append(a)
-                    out[1].append(b)
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64())], names=["a", "b"])
+                    s = shingles(tb, size)
+                    last = (tb, s, int(np.bitwise_xor.reduce(mixed(s)).view(np.int64)))
+                own = last[1] if a == b else shingles(ta, size)
+                out.append((b, last[2], a, len(own), *framed(own, last[1])))
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], names=names)
 
     return run
 
 
-def confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """Those of the pairs (a, b) that are linked. b is the side that recurs, so its text is joined last and isn't shuffled once a pair."""
-    first = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("data").alias("data_a")), "a")
-    both = first.join(texts.select(F.col("doc_id").alias("b"), F.col("data").alias("data_b")), "b")
-    return both.select("a", "b", "data_a", "data_b").mapInArrow(_confirm(size, percent), "a long, b long").distinct()
+def measured(pairs: DataFrame, texts: DataFrame, size: int) -> DataFrame:
+    """Each id's full set by its hub's, for pairs (id, hub). The hub recurs, so its text is joined last and isn't shuffled once a pair."""
+    first = pairs.join(texts.select(F.col("doc_id").alias("id"), F.col("data").alias("data_id")), "id")
+    both = first.join(texts.select(F.col("doc_id").alias("hub"), F.col("data").alias("data_hub")), "hub")
+    return both.select("id", "hub", "data_id", "data_hub").mapInArrow(_measure(size), _MEASURED)
+
+
+def links(stars: DataFrame, percent: int) -> DataFrame:
+    """(a, b) of the ids that are linked with their hub."""
+    sizes = stars.where("id = hub").select("hub", "frame", F.col("n").alias("hub_n")).distinct()
+    rows = stars.where("id <> hub").join(sizes, ["hub", "frame"])
+    return rows.where(F.col("both") * 100 >= (F.col("n") + F.col("hub_n") - F.col("both")) * percent).select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -124,43 +134,75 @@ def components(edges: DataFrame) -> DataFrame:
     return written(labels.join(least, "label").select("node", "component"), "components")
 
 
-_MEMBER = "key long, part int, id long, comp long, n long, sketch binary, outside boolean"
+def joined_components(comp: DataFrame, edges: DataFrame) -> DataFrame:
+    """comp (node, component) after edges (a, b) between nodes that may be in it or not: only the components that the edges touch are worked on."""
+    ends = edges.select(F.col("a").alias("node")).union(edges.select(F.col("b").alias("node"))).distinct()
+    fresh = ends.join(comp, "node", "left_anti").select("node", F.col("node").alias("component"))
+    comp = comp.union(fresh)
+    names = comp.select(F.col("node"), F.col("component"))
+    over = edges.join(names.toDF("a", "x"), "a").join(names.toDF("b", "y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    moved = components(over).toDF("component", "to")
+    return written(comp.join(moved, "component", "left").select("node", F.coalesce("to", "component").alias("component")), "components")
+
 
+_MEMBER = "hub long, frame long, part int, id long, comp long, n long, bits binary, rest binary, sketch binary, outside boolean, home boolean"
 
-def _compare(percent: int, hashes: int, partners: int):
-    """The best partners of each outsider of a key in each other component, and whether more were left."""
+
+def _compare(percent: int, hashes: int):
+    """The links between components among the members of a hub: those of each outsider with the members whose home is this part.
+
+    Pairs whose sizes differ too much can't be linked. Pairs that agree in less than the expected minhashes by five deviations are passed
+    over. For the rest the hub's frame gives what they share within it, and at most the smaller remainder beyond it; where that could
+    suffice, the remainders are intersected. A link between components that already are one by links found here isn't looked for.
+    """
     sure = percent / 100
     least = int(np.floor(hashes * sure - 5 * np.sqrt(hashes * sure * (1 - sure))))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         sketches = np.frombuffer(b"".join(pdf.sketch), dtype=np.uint32).reshape(len(pdf), -1)
-        ids, comps, n = pdf.id.to_numpy(), pdf.comp.to_numpy(), pdf.n.to_numpy()
+        bits = np.frombuffer(b"".join(pdf.bits), dtype=np.uint8).reshape(len(pdf), -1)
+        rest = [np.frombuffer(r, dtype=np.uint64) for r in pdf.rest]
+        spare = np.array([len(r) for r in rest])
+        ids, comps, n, home = (pdf[c].to_numpy() for c in ("id", "comp", "n", "home"))
+        root: dict[int, int] = {}
+
+        def find(c: int) -> int:
+            while (up := root.get(c, c)) != c:
+                c = up
+            return c
+
         out = []
         for i in np.flatnonzero(pdf.outside.to_numpy()):
-            agree = (sketches == sketches[i]).sum(axis=1)
-            fits = (comps != comps[i]) & (agree >= least) & (np.minimum(n, n[i]) * 100 >= percent * np.maximum(n, n[i]))
-            at = np.flatnonzero(fits)
-            at = at[np.lexsort((ids[at], -agree[at]))]
-            _, group = np.unique(comps[at], return_inverse=True)
-            for g in range(group.max() + 1 if len(at) else 0):
-                mine = at[group == g]
-                out += [(min(ids[i], ids[j]), max(ids[i], ids[j]), len(mine) > partners) for j in mine[:partners]]
-        return pd.DataFrame(out, columns=["b", "a", "more"]).drop_duplicates()
+            at = np.flatnonzero(home & (comps != comps[i]) & (np.minimum(n, n[i]) * 100 >= percent * np.maximum(n, n[i])))
+            at = at[(sketches[at] == sketches[i]).sum(axis=1) >= least]
+            inside = np.bitwise_count(bits[at] & bits[i]).sum(axis=1, dtype=np.int64)
+            most = inside + np.minimum(spare[at], spare[i])
+            fits = most * 100 >= percent * (n[at] + n[i] - most)
+            at, inside = at[fits], inside[fits]
+            for j, shared in zip(at[np.argsort(-most[fits], kind="stable")], inside[np.argsort(-most[fits], kind="stable")]):
+                a, b = find(comps[i]), find(comps[j])
+                if a == b:
+                    continue
+                shared = shared + len(np.intersect1d(rest[i], rest[j], assume_unique=True))
+                if shared * 100 >= percent * (n[i] + n[j] - shared):
+                    root[max(a, b)] = min(a, b)
+                    out.append((ids[i], ids[j]))
+        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
     return run
 
 
-def outsider_pairs(shared: DataFrame, comp: DataFrame, reps: DataFrame, percent: int, hashes: int, partners: int) -> DataFrame:
-    """(a, b, more) across components within keys (key, id) that hold several components and more than their first pair."""
-    rows = shared.join(comp.select(F.col("node").alias("id"), F.col("component").alias("c")), "id", "left").select("key", "id", F.coalesce("c", "id").alias("comp"))
-    sizes = rows.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("m"))
-    keys = sizes.groupBy("key").agg(F.count(F.lit(1)).alias("comps"), F.sum("m").alias("members"), F.max(F.struct("m", "comp")).alias("top"))
-    keys = keys.where("comps > 1 AND members > 2").select("key", F.col("top.comp").alias("main"), F.ceil(F.col("members") / BLOCK).cast("int").alias("parts"))
-    rows = rows.join(keys, "key").withColumn("outside", F.col("comp") != F.col("main"))
+def outsider_links(stars: DataFrame, comp: DataFrame, reps: DataFrame, percent: int, hashes: int) -> DataFrame:
+    """(a, b): links across components within the stars that hold several components and more than one pair."""
+    rows = stars.join(comp.select(F.col("node").alias("id"), F.col("component").alias("c")), "id", "left").withColumn("comp", F.coalesce("c", "id"))
+    sizes = rows.groupBy("hub", "frame", "comp").agg(F.count(F.lit(1)).alias("m"))
+    hubs = sizes.groupBy("hub", "frame").agg(F.count(F.lit(1)).alias("comps"), F.sum("m").alias("members"), F.max(F.struct("m", "comp")).alias("top"))
+    hubs = hubs.where("comps > 1 AND members > 2").select("hub", "frame", F.col("top.comp").alias("main"), F.ceil(F.col("members") / BLOCK).cast("int").alias("parts"))
+    rows = rows.join(hubs, ["hub", "frame"]).withColumn("outside", F.col("comp") != F.col("main"))
     own = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")
-    rows = rows.withColumn("part", F.explode(F.when(F.col("outside"), F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array(own))))
-    rows = rows.join(reps.select("id", F.col("n_shingles").alias("n"), "sketch"), "id").select(*[c.split()[0] for c in _MEMBER.split(", ")])
-    return rows.groupBy("key", "part").applyInPandas(_compare(percent, hashes, partners), "b long, a long, more boolean")
+    rows = rows.withColumn("own", own).withColumn("part", F.explode(F.when(F.col("outside"), F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array("own"))))
+    rows = rows.withColumn("home", F.col("part") == F.col("own")).join(reps.select("id", "sketch"), "id").select(*[c.split()[0] for c in _MEMBER.split(", ")])
+    return rows.groupBy("hub", "frame", "part").applyInPandas(_compare(percent, hashes), "a long, b long")
 
 
 def near_dup(docs: DataFrame, size: int = 5, percent: int = 80, tables: int = 8, width: int = 2) -> DataFrame:
@@ -182,23 +224,12 @@ def near_dup(docs: DataFrame, size: int = 5, percent: int = 80, tables: int = 8,
     reps = written(reps.dropDuplicates(["id", "digest"]), "reps")
     keys = reps.select("id", F.explode("left").alias("l"), "right").select("id", "l", F.explode("right").alias("r")).select(F.xxhash64("l", "r").alias("key"), "id")
     first = keys.groupBy("key").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "first")
-    shared = written(keys.join(first, "key").select("key", "id", "first"), "shared")
-    tried = written(shared.where("id > first").select(F.col("id").alias("a"), F.col("first").alias("b")).distinct(), "tried")
-    edges = written(confirmed(tried, docs, size, percent), "links")
-    comp, partners = components(edges), FIRST_PARTNERS
-    while True:
-        found = written(outsider_pairs(shared, comp, reps, percent, 2 * tables * width, partners), "outsiders")
-        more = not found.where("more").isEmpty()
-        new = written(found.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"), "tried")
-        if new.isEmpty() and not more:
-            break
-        partners *= 8
-        if not new.isEmpty():
-            tried = tried.union(new)
-            added = written(confirmed(new, docs, size, percent), "links")
-            if not added.isEmpty():
-                edges = edges.union(added)
-                comp = components(edges)
+    shared = keys.join(first, "key").select("id", F.col("first").alias("hub")).distinct()
+    stars = written(measured(written(shared, "shared"), docs, size), "stars")
+    comp = components(links(stars, percent))
+    found = written(outsider_links(stars, comp, reps, percent, 2 * tables * width), "links")
+    if not found.isEmpty():
+        comp = joined_components(comp, found)
     roots = classes.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("root"))
     # A doc_id that repeats with other texts belongs to several classes; what links them is the doc_id itself.
     rows = signed.select("doc_id", "n_shingles", "digest").join(roots, "digest", "left")
