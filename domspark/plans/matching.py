@@ -186,9 +186,39 @@ def is_local(s: object) -> bool:
     return not isinstance(s, Combined)
 
 
+def _steps(s: object) -> bool:
+    """Whether a selector asks for the very next or previous sibling, so that all elements must be there."""
+    if isinstance(s, SelectorList):
+        return any(map(_steps, s.selectors))
+    if isinstance(s, Compound):
+        return any(map(_steps, s.parts))
+    if isinstance(s, Combined):
+        return s.how == "+" or _steps(s.left) or _steps(s.right)
+    return isinstance(s, Pseudo) and any(how == "+" or _steps(inner) for how, inner in s.inner)
+
+
+def _parties(matcher: Matcher, s: object) -> list[Column]:
+    """Local conditions, one of which every element has that can match the selector or a part of it."""
+    if isinstance(s, SelectorList):
+        return [c for x in s.selectors for c in _parties(matcher, x)]
+    if isinstance(s, Combined):
+        return _parties(matcher, s.left) + _parties(matcher, s.right)
+    parts = s.parts if isinstance(s, Compound) else (s,)
+    own = F.lit(True)
+    for p in parts:
+        if is_local(p):
+            own = own & matcher.flag(p)
+    return [own] + [c for p in parts if not is_local(p) for _, inner in p.inner for c in _parties(matcher, inner)]
+
+
 def matching(nodes: DataFrame, selector: SelectorList) -> DataFrame:
-    """The elements of `nodes` that match, as rows of nodes. A local selector stays a filter that reaches the scan."""
+    """The elements of `nodes` that match, as rows of nodes.
+
+    A local selector stays a filter that reaches the scan. Otherwise only elements that can play a part in the selector are shuffled.
+    """
     elements = nodes.where(F.col("node_type") == "element")
     matcher = Matcher(elements)
+    if not is_local(selector) and not _steps(selector):
+        matcher = Matcher(elements.where(matcher._any(_parties(matcher, selector))))
     flag = matcher.flag(selector)
     return matcher.rows.where(flag).select(*nodes.columns)
