@@ -98,23 +98,19 @@ def reply_paths(messages: DataFrame, branches: int = 1) -> DataFrame:
     m = m.join(there, ["conv_id", "parent_id"], "left").withColumn("parent_id", F.when(F.col("there"), F.col("parent_id"))).drop("there")
     m = written(m.select("conv_id", "msg_id", "parent_id", "role", "text", "score"), "chat-messages")
     # up: the ancestor 2**k steps up; total, depth: score and number of the messages passed, itself included.
-    # A conversation leaves the loop once all its messages have reached their roots, so long ones alone take many rounds.
+    # Messages that have reached their root stay as they are, so long conversations alone have rows to move in many rounds.
     live = m.select("conv_id", "msg_id", F.col("parent_id").alias("up"), F.col("score").alias("total"), F.lit(1).cast("long").alias("depth"))
-    levels, rooted, size = [], None, m.count()
+    levels, size = [], m.count()
     while True:
         live = written(live, "chat-jump")
         levels.append(live)
         moving = live.where("up IS NOT NULL")
-        last = 1 << (len(levels) - 1) > size or moving.isEmpty()
-        going = moving.select("conv_id").distinct()
-        done = live.where("up IS NULL") if last else live.join(going, "conv_id", "left_anti")
-        rooted = done if rooted is None else rooted.union(done)
-        if last:
+        if 1 << (len(levels) - 1) > size or moving.isEmpty():
             break
-        live = live.join(going, "conv_id", "left_semi")
         upper = live.select("conv_id", F.col("msg_id").alias("up"), F.col("up").alias("up2"), F.col("total").alias("total2"), F.col("depth").alias("depth2"))
         moved = moving.join(upper, ["conv_id", "up"]).select("conv_id", "msg_id", F.col("up2").alias("up"), (F.col("total") + F.col("total2")).alias("total"), (F.col("depth") + F.col("depth2")).alias("depth"))
         live = live.where("up IS NULL").union(moved)
+    rooted = live.where("up IS NULL")
     parents = m.where("parent_id IS NOT NULL").select("conv_id", F.col("parent_id").alias("msg_id")).distinct()
     leaves = rooted.join(parents, ["conv_id", "msg_id"], "left_anti").withColumn("path_score", F.col("total") / F.col("depth"))
     by_score = Window.partitionBy("conv_id").orderBy(F.col("path_score").desc(), "msg_id")
