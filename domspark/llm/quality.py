@@ -204,7 +204,10 @@ def fit_quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Lin
     """
     rows = labels.select("doc_id", F.col("quality").cast("int").alias("label")).where("doc_id IS NOT NULL AND label IN (0, 1)")
     rows = rows.where(~held_out()).groupBy("doc_id").agg(F.min("label").alias("label"))
-    picked = [rows.where(F.col("label") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample) for y in (0, 1)]
+    counts = {r.label: r["count"] for r in rows.groupBy("label").count().collect()}
+    # Twice the rows that are asked for are drawn by hash, so that no partition sends many more than its share.
+    small = lambda y: F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < min(1 << 30, (2 * sample << 30) // max(1, counts.get(y, 0)))
+    picked = [rows.where((F.col("label") == y) & small(y)).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample) for y in (0, 1)]
     ids = [(r.doc_id, r.label) for p in picked for r in p.collect()]  # 2 * sample rows at most
     chosen = docs.sparkSession.createDataFrame(ids, "doc_id long, label int")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
