@@ -19,11 +19,9 @@ def _is(c: Column, text: str) -> Column:
     return to_lower(trim_whitespace(F.coalesce(c, F.lit("")))) == text.strip(" \t\n\r\f").translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
 
 
-def title(nodes: DataFrame, texts: DataFrame) -> DataFrame:
-    """(page_id, title): the text of the first title element."""
-    spans = nodes.where(F.col("tag_lc") == "title").groupBy("page_id").agg(F.min_by(F.struct("text_start", "text_len"), F.col("node_id")).alias("s"))
-    text = F.substring(F.col("page_text"), F.col("s.text_start") + 1, F.col("s.text_len"))
-    return texts.join(spans, "page_id", "left").select("page_id", F.coalesce(text, F.lit("")).alias("title"))
+def title(nodes: DataFrame, pages: DataFrame) -> DataFrame:
+    """(page_id, title): the text of the first title element. A title's content is text, so its own text is all of it."""
+    return _first(pages, nodes.where(F.col("tag_lc") == "title"), F.col("own_text"), "title")
 
 
 def charset(pages: DataFrame, nodes: DataFrame) -> DataFrame:
