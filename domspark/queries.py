@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from domspark.functions import encoding, nodes as N, text as X
+from domspark.functions import encoding, nodes as N, text as X, tokens as K
 from domspark.operators import document as D
 from domspark.operators.nodeset import Document, NodeSet
 from domspark.options import Options
@@ -173,6 +173,13 @@ def tokenize(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenize_html(pages(spark, sf_dir)).groupBy("type").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query(f"SELECT page_id, CAST({LI} * 2 AS BIGINT) AS li_tags, CAST({_found('<(meta|br)[ >]')} AS BIGINT) AS closed_selves, CAST(1 AS BIGINT) AS doctypes, CAST(0 AS BIGINT) AS quirks FROM pages")
+def token_predicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = lambda c: F.count(F.when(c, 1))
+    found = (n(K.is_tag("LI")).alias("li_tags"), n(K.is_close_self()).alias("closed_selves"), n(K.is_doctype()).alias("doctypes"), n(K.is_force_quirks()).alias("quirks"))
+    return tokenize_html(pages(spark, sf_dir)).groupBy("page_id").agg(*found)
+
+
 @query("SELECT tag, CAST(count(*) AS BIGINT) AS n FROM (SELECT unnest(regexp_extract_all(html, '<([a-z][a-z0-9]*)[ >]', 1)) AS tag FROM pages) GROUP BY tag")
 def tag_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parsed(spark, sf_dir).nodes.where(N.is_element()).groupBy("tag").agg(F.count(F.lit(1)).alias("n"))
