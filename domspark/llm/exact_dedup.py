@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ._shared import mixed, written
 
-BUCKET_KEYS = 4096  # keys that a bucket's filter is meant to hold
+BUCKET_KEYS = 512  # keys that a bucket's filter is meant to hold
 
 
 class BinaryFuse:
