@@ -46,7 +46,8 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     name = F.col("doc_id").cast("string")
     path = F.when(licence_file, F.concat_ws("/", lang, name)).otherwise(F.concat_ws("/", lang, F.floor(F.col("doc_id") / 100).cast("string"), name))
     out = license_scan.license_scan(docs.select(path.alias("path"), "text"), licence_file=licence_file)
-    return out.select(F.substring_index("path", "/", -1).cast("long").alias("doc_id"), *out.columns)
+    own = (F.coalesce("similarity", F.lit(0.0)).alias("similarity"), F.coalesce("line", F.lit(-1)).cast("long").alias("line"))
+    return out.select(F.substring_index("path", "/", -1).cast("long").alias("doc_id"), "path", "licence", *own, "origin", "from_dir")
 
 
 def op3_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -104,7 +105,40 @@ _PATH = "regexp_extract(coalesce(url, ''), '^[\\s\\S]*?://[^/?#]*([^?#]*)', 1)"
 _RULES = ", ".join(f"('{v}', '{h}', '{p}')" for v, h, p in URL_RULES)
 _ESCAPED = r"length(regexp_replace(coalesce(text, ''), '[\\<\[]', 'xx', 'g'))"
 
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+_BLANKED = "translate(@, " + _quoted("".join(c for c in license_scan._FROM if c >= " ")) + " || chr(9) || chr(13) || chr(12) || chr(11), " + _quoted(license_scan._TO) + ")"
+_TEMPLATES = ", ".join(f"({i}, {_quoted(name)}, {_quoted(text)})" for i, (name, text) in enumerate(license_scan.TEMPLATES))
+
 SQL: dict[str, str] = {
+    "op2_license_scan": f"""
+        WITH templates(template, licence, body) AS (VALUES {_TEMPLATES}),
+        told AS (SELECT template, licence, w, count(*) AS tf FROM (SELECT template, licence, unnest(string_split({_BLANKED.replace("@", "body", 1)}, ' ')) AS w FROM templates) WHERE w <> '' GROUP BY ALL),
+        files AS (SELECT doc_id, coalesce(text, '') AS text, regexp_matches(array_extract(string_split(coalesce(text, ''), chr(10)), -1), '(?i)licen[sc]e') AS is_file,
+                  coalesce(source, '') || '/' || coalesce(lang, '') AS top FROM documents),
+        named AS (SELECT doc_id, text, is_file, CASE WHEN is_file THEN top ELSE top || '/' || CAST(doc_id // 100 AS VARCHAR) END AS dir FROM files),
+        words AS (SELECT doc_id, line, unnest(string_split(body, ' ')) AS w FROM
+                  (SELECT doc_id, unnest(string_split({_BLANKED.replace("@", "text", 1)}, chr(10))) AS body, unnest(range(len(string_split(text, chr(10))))) AS line FROM named)),
+        terms AS (SELECT doc_id, line, w, count(*) AS tf FROM words WHERE w <> '' GROUP BY ALL),
+        n AS (SELECT count(*) AS n FROM named),
+        idf AS (SELECT v.w, ln((n.n + 1) / (count(DISTINCT t.doc_id) + 1)) + 1 AS idf FROM (SELECT DISTINCT w FROM told) v CROSS JOIN n LEFT JOIN terms t ON t.w = v.w GROUP BY v.w, n.n),
+        weights AS (SELECT template, licence, w, tf * idf AS x, sqrt(sum(tf * idf * tf * idf) OVER (PARTITION BY template)) AS size FROM told JOIN idf USING (w)),
+        scored AS (SELECT doc_id, line, w, tf * coalesce(idf, ln((SELECT n FROM n) + 1) + 1) AS x FROM terms LEFT JOIN idf USING (w)),
+        sizes AS (SELECT doc_id, line, sqrt(sum(x * x)) AS size FROM scored GROUP BY ALL),
+        near AS (SELECT s.doc_id, s.line, g.template, g.licence, round(sum(s.x * g.x / g.size) / any_value(z.size), 6) AS similarity
+                 FROM scored s JOIN weights g USING (w) JOIN sizes z ON z.doc_id = s.doc_id AND z.line = s.line GROUP BY s.doc_id, s.line, g.template, g.licence),
+        own AS (SELECT doc_id, line, licence, similarity FROM near WHERE similarity >= 0.8 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY similarity DESC, line, template) = 1),
+        dirs AS (SELECT dir, licence FROM named JOIN own USING (doc_id) WHERE is_file GROUP BY dir, licence QUALIFY row_number() OVER (PARTITION BY dir ORDER BY count(*) DESC, licence) = 1),
+        rows AS (SELECT f.doc_id, f.dir, o.licence, o.similarity, o.line, d.licence AS near_licence, d.dir AS near_dir
+                 FROM named f LEFT JOIN own o USING (doc_id) LEFT JOIN dirs d ON f.dir = d.dir OR starts_with(f.dir, d.dir || '/')
+                 QUALIFY row_number() OVER (PARTITION BY f.doc_id ORDER BY length(d.dir) DESC NULLS LAST) = 1)
+        SELECT doc_id, dir || '/' || doc_id AS path, coalesce(licence, near_licence) AS licence, coalesce(similarity, 0.0) AS similarity, coalesce(line, -1) AS line,
+               CASE WHEN licence IS NOT NULL THEN 'header' WHEN near_licence IS NOT NULL THEN 'directory' END AS origin,
+               CASE WHEN licence IS NULL THEN near_dir END AS from_dir FROM rows""",
     "op1_line_dedup": """
         WITH lines AS (SELECT doc_id, coalesce(text, '') AS t, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
         hashed AS (SELECT doc_id, l, list_transform(l, lambda x: CAST('0x' || substr(md5(x), 1, 8) AS BIGINT)) AS h FROM lines),
