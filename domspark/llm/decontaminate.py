@@ -75,6 +75,7 @@ class Index:
         for at, own in enumerate(weights):
             for w, x in own.items():
                 lists.setdefault(w, []).append((at, x))
+        self.lengths = sorted({size} | {len(t) for n in self.needles for part in n for t in part})  # of runs; short questions, answers and items have shorter ones
         self.vocabulary = {w: i for i, w in enumerate(lists)}
         per = max(1, -(-len(self.ids) // ITEM_BLOCKS))
         self.bounds = np.zeros((len(lists), -(-max(1, len(self.ids)) // per)))
@@ -157,7 +158,8 @@ class Index:
                 hits = self.retrieve(np.unique(terms[lo[k] : hi[k]]).tolist())
                 if not hits:
                     continue
-                own = frozenset(runs(words[part[k] : part[k] + 2 * step], self.size))
+                window = words[part[k] : part[k] + 2 * step]
+                own = {tuple(window[i : i + n]) for n in self.lengths for i in range(len(window) - n + 1)}
                 for item, score in hits:
                     every, q, a = self.needles[item]
                     share = len(every & own) / len(every)
