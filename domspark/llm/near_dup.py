@@ -2,8 +2,8 @@
 
 Two collections of `tables` short codes each are computed per document, a code being `width` minhashes. Every pair of a code of the
 first and a code of the second collection is the key of one table, so `tables` squared tables of 2 * width minhashes each cost
-2 * tables * width minhashes instead of tables squared times that many. With the default 8 and 2, a pair of similarity 0.8 misses
-all 64 tables once in about 1,800 cases, a pair of 0.9 once in some 900,000.
+2 * tables * width minhashes instead of tables squared times that many. With the default 10 and 2, a pair of similarity 0.8 misses
+all 100 tables once in about 13,000 cases, a pair of 0.9 once in some eight million.
 
 Equal shingle sets are one class from the start, represented by their smallest doc_id. The classes that share a key are compared
 with the first of the key, its hub, and confirmed links are contracted to components. A class's full set is kept by the hub's set: as bits
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from ._shared import mixed, shingles, written
 
-BLOCK = 1024  # members of a hub that one comparing task holds, besides the hub's outsiders
+BLOCK, BLOCK_BYTES = 1024, 32_000_000  # members of a hub, and bytes of their sets, that one comparing task holds besides the hub's outsiders
 
 
 def minhashes(hashes: np.ndarray, count: int) -> np.ndarray:
@@ -195,9 +195,10 @@ def _compare(percent: int, hashes: int):
 def outsider_links(stars: DataFrame, comp: DataFrame, reps: DataFrame, percent: int, hashes: int) -> DataFrame:
     """(a, b): links across components within the stars that hold several components and more than one pair."""
     rows = stars.join(comp.select(F.col("node").alias("id"), F.col("component").alias("c")), "id", "left").withColumn("comp", F.coalesce("c", "id"))
-    sizes = rows.groupBy("hub", "frame", "comp").agg(F.count(F.lit(1)).alias("m"))
-    hubs = sizes.groupBy("hub", "frame").agg(F.count(F.lit(1)).alias("comps"), F.sum("m").alias("members"), F.max(F.struct("m", "comp")).alias("top"))
-    hubs = hubs.where("comps > 1 AND members > 2").select("hub", "frame", F.col("top.comp").alias("main"), F.ceil(F.col("members") / BLOCK).cast("int").alias("parts"))
+    sizes = rows.groupBy("hub", "frame", "comp").agg(F.count(F.lit(1)).alias("m"), F.sum(F.octet_length("bits") + F.octet_length("rest")).alias("size"))
+    hubs = sizes.groupBy("hub", "frame").agg(F.count(F.lit(1)).alias("comps"), F.sum("m").alias("members"), F.sum("size").alias("size"), F.max(F.struct("m", "comp")).alias("top"))
+    parts = F.greatest(F.ceil(F.col("members") / BLOCK), F.ceil(F.col("size") / BLOCK_BYTES)).cast("int")
+    hubs = hubs.where("comps > 1 AND members > 2").select("hub", "frame", F.col("top.comp").alias("main"), parts.alias("parts"))
     rows = rows.join(hubs, ["hub", "frame"]).withColumn("outside", F.col("comp") != F.col("main"))
     own = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")
     rows = rows.withColumn("own", own).withColumn("part", F.explode(F.when(F.col("outside"), F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array("own"))))
@@ -205,7 +206,7 @@ def outsider_links(stars: DataFrame, comp: DataFrame, reps: DataFrame, percent:
     return rows.groupBy("hub", "frame", "part").applyInPandas(_compare(percent, hashes), "a long, b long")
 
 
-def near_dup(docs: DataFrame, size: int = 5, percent: int = 80, tables: int = 8, width: int = 2) -> DataFrame:
+def near_dup(docs: DataFrame, size: int = 5, percent: int = 80, tables: int = 10, width: int = 2) -> DataFrame:
     """One row per row of docs (doc_id, text): doc_id, n_shingles, component_id, kept.
 
     Words are [^\\x20\\x09-\\x0D]+ with A-Z lower-cased; a document's set are its distinct runs of `size` words, or with fewer words the
