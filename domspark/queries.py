@@ -186,15 +186,12 @@ def tag_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """SELECT page_id, sha256(replace(regexp_replace(replace(html, '"</p>"', '"' || chr(1) || '/p>"'), '<[^>]*>', '', 'g'), chr(1), '<')) AS text_sha256,
-    regexp_extract(html, '<title>([\\s\\S]*?)</title>', 1) AS title FROM pages WHERE NOT regexp_matches(regexp_extract(html, '<title>([\\s\\S]*?)</title>', 1), '&(amp|copy|middot|quot);')"""
+    """SELECT page_id, sha256(replace(regexp_replace(replace(replace(html, '<title>' || raw || '</title>', '<title>' || t || '</title>'), '"</p>"', '"' || chr(1) || '/p>"'), '<[^>]*>', '', 'g'), chr(1), '<')) AS text_sha256
+    FROM (SELECT *, replace(replace(replace(replace(raw, '&copy;', '©'), '&middot;', '·'), '&quot;', '"'), '&amp;', '&') AS t FROM (SELECT page_id, html, regexp_extract(html, '<title>([\\s\\S]*?)</title>', 1) AS raw FROM pages))"""
 )
-def page_text_and_title(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages whose title holds no entity: title text is decoded, other text isn't."""
-    p = parsed(spark, sf_dir)
-    plain = p.pages.where(F.regexp_extract("html", r"<title>([\s\S]*?)</title>", 1).rlike("&(amp|copy|middot|quot);") == F.lit(False)).select("page_id")
-    both = p.texts.select("page_id", F.sha2("page_text", 256).alias("text_sha256")).join(D.title(p.nodes, p.texts), "page_id")
-    return both.join(plain, "page_id", "left_semi")
+def page_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The text of a title is decoded, other text isn't."""
+    return parsed(spark, sf_dir).texts.select("page_id", F.sha2("page_text", 256).alias("text_sha256"))
 
 
 @query(

@@ -1,6 +1,8 @@
 """The scanner and the tree, without Spark."""
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from domspark.options import Options
 from domspark.plans.errors import HtmlError
@@ -209,3 +211,26 @@ def test_node_rows_are_in_document_order():
 def test_deep_pages_do_not_recurse():
     rows, _ = node_rows(*parse("<i>" * 5000, Options(max_depth=10_000))[:2])
     assert len(rows) == 5003
+
+
+PIECES = ["<", ">", "/", "a", "b ", "=", '"', "'", "!", "--", "[CDATA[", "]]>", "?", "\0", "\n", "é", "&amp;", "<table>", "<td>", "</tr>", "<select>", "<option>", "<p>", "</p>", "<script>", "</script", "<title>", "<svg>", "<b>", "</b>", "<i>", "<br>", "<html x>", "<body>", "<head>", "<form>", "<li>", "<!DOCTYPE", "<col>", "<caption>", "</table>", "<a>"]
+
+
+@settings(max_examples=1500, deadline=None)
+@given(
+    st.lists(st.sampled_from(PIECES), max_size=25).map("".join),
+    st.sampled_from([Options(), Options(error_handling="ignore"), Options(preserve_case=True, decode_entities=True), Options(max_depth=3, max_text_length=3), Options(whitespace_mode="trim", br_handling="insert_newline")]),
+    st.sampled_from([None, "div", "table", "tr", "select", "title"]),
+)
+def test_any_input_gives_a_consistent_tree(html, options, context):
+    tree, root, errors = parse(html, options, context)
+    rows, text = node_rows(tree, root)
+    assert all(0 <= e[2] <= len(html.encode()) and e[3] >= 1 and e[4] >= 1 for e in errors)
+    by = {r[0]: r for r in rows}
+    for r in rows:
+        up = by.get(r[1])
+        assert (r[1] == 0 and r[3] == 1) or (up[5] == "element" and up[3] == r[3] - 1 and up[0] < r[0] <= r[2] <= up[2])
+        assert r[4] == ([up[0], *up[4]] if up else [])
+        if r[5] == "text":
+            assert text[r[22] : r[22] + r[23]] == r[12]
+    assert parse(html, options, context)[2] == errors

@@ -1,6 +1,8 @@
 """Selector texts, without Spark."""
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from domspark.plans.errors import SelectorError
 from domspark.plans.selectors import classify_simple_selector, is_valid_selector, normalize_selector, nth, parse_selector, parse_selectors
@@ -71,3 +73,12 @@ def test_helpers():
     assert normalize_selector("  DIV   > P[a='X  Y'] ") == "div > p[a='X  Y']"
     assert [str(s) for s in parse_selectors(["a", "b"])] == ["a", "b"]
     assert parse_selector("a:not([b='x'])").selectors[0].parts[1].argument == "[b='x']"
+
+
+@settings(max_examples=800, deadline=None)
+@given(st.lists(st.sampled_from(["a", ".b", "#c", "[d]", "[d='e']", "[", "]", ":not(", ":has(>", ":is(", ")", ":nth-child(2n+1)", ":x", "::before", " ", ">", "+", "~", ",", "*", "'", "5", "\\", "/*", "*/", "é"]), max_size=12).map("".join))
+def test_any_text_is_read_or_refused(text):
+    found = parse_selector(text, on_error="lenient", cache=False)
+    assert is_valid_selector(text) == (not found.errors)
+    if found and not found.errors:
+        assert str(parse_selector(str(found))) == str(found) and parse_selector(str(found)).specificity == found.specificity
