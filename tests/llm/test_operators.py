@@ -210,6 +210,17 @@ def test_near_dup_is_what_all_pairs_give(spark, size):
     assert all(r.kept == (r.doc_id == r.component_id) and r.n_shingles >= 0 for r in out)
 
 
+def test_blocks_change_nothing(spark, monkeypatch):
+    base = prose(77, 120)
+    rows = [(i, edited(base, i, i % 31)) for i in range(150)] + [(1000 + i, prose(3, 30) + " " + prose(100 + i, 30)) for i in range(60)]
+    want = groups_by_hand(rows, 2, 80)
+    assert 20 < len(set(want.values())) < 200
+    for block, size in ((1024, 32_000_000), (7, 3000)):
+        monkeypatch.setattr(near_dup, "BLOCK", block)
+        monkeypatch.setattr(near_dup, "BLOCK_BYTES", size)
+        assert {r.doc_id: r.component_id for r in near_dup.near_dup(docs(spark, rows), 2, 80).collect()} == want
+
+
 def test_near_dup_of_null_ids_and_chains(spark):
     words = [f"w{i}" for i in range(400)]
     chain = [(i, " ".join(words[8 * i : 8 * i + 100])) for i in range(30)]
