@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -49,13 +50,17 @@ def _emit(ddl: str, rows_of: Callable[[str, object], list[tuple]]):
             columns = zip(*held, strict=True) if held else ([] for _ in schema)
             return pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
-        for b in batches:
-            for page, html, context in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                held += [(page, *row) for row in rows_of(html or "", context)]
-                if len(held) >= most:
-                    yield batch()
-                    held = []
-        yield batch()
+        gc.disable()  # trees hold no reference cycles, and scanning millions of live rows for some would take a third of the time
+        try:
+            for b in batches:
+                for page, html, context in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                    held += [(page, *row) for row in rows_of(html or "", context)]
+                    if len(held) >= most:
+                        yield batch()
+                        held = []
+            yield batch()
+        finally:
+            gc.enable()
 
     return run
 
