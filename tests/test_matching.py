@@ -126,15 +126,14 @@ def corpus(spark, tmp_path_factory):
 def test_random_selectors(corpus):
     walkers, nodes = corpus
     texts = list(dict.fromkeys(selector() for _ in range(24)))
-    found = None
-    for i, s in enumerate(texts):
-        one = matching(nodes, parse_selector(s)).select(F.lit(i).alias("s"), "page_id", "node_id")
-        found = one if found is None else found.union(one)
-        if i % 6 == 5:
-            got = {tuple(r) for r in found.collect()}
-            want = {(k, p, w.number[n]) for k in range(i - 5, i + 1) for p, w in walkers.items() for n in w.elements if w.fits(n, parse_selector(texts[k]))}
-            assert got == want, [texts[k] for k in {x[0] for x in got ^ want}]
-            found = None
+    for at in range(0, len(texts), 6):
+        part, found = texts[at : at + 6], None
+        for i, s in enumerate(part):
+            one = matching(nodes, parse_selector(s)).select(F.lit(i).alias("s"), "page_id", "node_id")
+            found = one if found is None else found.union(one)
+        got = {tuple(r) for r in found.collect()}
+        want = {(i, p, w.number[n]) for i, s in enumerate(part) for p, w in walkers.items() for n in w.elements if w.fits(n, parse_selector(s))}
+        assert got == want, [part[i] for i in {x[0] for x in got ^ want}]
 
 
 def test_sets_follow_document_order(corpus):
