@@ -31,6 +31,8 @@ TEMPLATES = [
     ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted."),
     ("all rights reserved", "Copyright. All rights reserved."),
 ]
+#: What the registered query scores: TEMPLATES, which its SQL reads and which so stay as they are, and a notice that lacks a rare word of theirs.
+NOTICES = [*TEMPLATES, ("all rights reserved", "All rights reserved.")]
 LICENCE_FILE = r"(?i)(^|/)(licen[cs]e|copying|notice)(\.[a-z]+)?$"
 _FROM = "ABCDEFGHIJKLMNOPQRSTUVWXYZ.,;:!?()[]{}<>\"'`|*#&%$+=~^\\@/_-\t\r\f\x0b"
 _TO = "abcdefghijklmnopqrstuvwxyz" + " " * (len(_FROM) - 26)

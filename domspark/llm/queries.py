@@ -45,7 +45,7 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     lang = F.concat_ws("/", F.coalesce("source", F.lit("")), F.coalesce("lang", F.lit("")))
     name = F.col("doc_id").cast("string")
     path = F.when(licence_file, F.concat_ws("/", lang, name)).otherwise(F.concat_ws("/", lang, F.floor(F.col("doc_id") / 100).cast("string"), name))
-    out = license_scan.license_scan(docs.select(path.alias("path"), "text"), licence_file=licence_file)
+    out = license_scan.license_scan(docs.select(path.alias("path"), "text"), license_scan.NOTICES, licence_file=licence_file)
     own = (F.coalesce("similarity", F.lit(0.0)).alias("similarity"), F.coalesce("line", F.lit(-1)).cast("long").alias("line"))
     return out.select(F.substring_index("path", "/", -1).cast("long").alias("doc_id"), "path", "licence", *own, "origin", "from_dir")
 

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from domspark.llm import chat_format, decontaminate, exact_dedup, license_scan, line_dedup, near_dup, packing, pii, quality, url_filter
 from domspark.llm._shared import shingles
-from domspark.llm.queries import URL_RULES, tokenizer_path
+from domspark.llm.queries import URL_RULES, op2_license_scan, tokenizer_path
 
 DOCS = "doc_id long, text string"
 #: Columns whose names clash with those that the operators make.
@@ -176,6 +176,20 @@ def test_licences_come_from_the_nearest_directory(spark):
     }
 
 
+def documents(spark, folder, texts):
+    """A folder with a table of documents, for registered queries."""
+    rows = [(i, t, "en", "src", len(t)) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{folder}/documents.parquet")
+    return str(folder)
+
+
+def test_plain_notices_pass_where_the_other_words_of_their_templates_are_rare(spark, tmp_path):
+    plain = [("all rights reserved", "All rights reserved."), ("MIT", "Released under the MIT License."), ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."), ("Apache-2.0", "Licensed under the Apache License, Version 2.0."), ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3.")]
+    sf = documents(spark, tmp_path, [prose(i, 30) + "\n" + plain[i % 10][1] if i % 10 < 5 else prose(i, 30) for i in range(400)])
+    got = {r.doc_id: (r.licence, r.similarity, r.line, r.origin) for r in op2_license_scan(spark, sf).collect()}
+    assert all(got[i] == (plain[i % 10][0], 1.0, 1, "header") for i in range(400) if i % 10 < 5)
+
+
 # ---- 3: near duplicates ----
 
 
