@@ -6,6 +6,10 @@ Chunks of two lines or more that occur more than once in the corpus are removed
 
 Chunks are grouped by their whole text, which is the byte comparison, and copies are counted before anything is shuffled. Where a
 chunk occurs is then joined by digests without its text, and the texts meet the list of what goes from them in one join.
+
+Chunks cut at a divisor miss repeats that don't fill a chunk: single-line chunks never go, and the ends of a passage fall into chunks with
+other lines. run_dedup, which the registered query uses, therefore looks at all pairs of neighbouring lines: each repeated run of two lines or
+more consists of repeated pairs, wherever chunks end. What chunk dedup removes, it removes as well. Pairs are equal if their SHA-256 are.
 """
 
 from __future__ import annotations
@@ -69,3 +73,36 @@ def line_dedup(docs: DataFrame, divisor: int = 3) -> DataFrame:
     kept = F.filter("chunks", lambda c, i: ~F.array_contains("gone", i))
     left = F.when(F.col("gone").isNull(), F.array_join("chunks", "\n")).otherwise(F.array_join(kept, "\n"))
     return rows.select("doc_id", F.col("n_lines").cast("long").alias("n_lines"), F.size("chunks").cast("long").alias("n_chunks"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("removed_chunks"), F.coalesce("removed_lines", F.lit(0)).cast("long").alias("removed_lines"), left.alias("text"))
+
+
+def repeated_pairs(docs: DataFrame) -> DataFrame:
+    """doc_id, digest, gone (places of lines, from 0): the lines of pairs of neighbouring lines that occurred before. docs: doc_id, digest, lines.
+
+    Pairs are ordered by doc_id, digest and place. A pair that shares a line with its first occurrence (as in three equal lines) isn't a repeat.
+    """
+    n = F.size("lines") - 1
+    both = F.zip_with(F.slice("lines", F.lit(1), n), F.slice("lines", F.lit(2), n), lambda a, b: F.unhex(F.sha2(F.concat(a, F.lit("\n"), b), 256)))
+    pairs = docs.where("doc_id IS NOT NULL").select("doc_id", "digest", F.posexplode(both).alias("place", "pair"))
+    found = pairs.groupBy("pair").agg(F.count(F.lit(1)).alias("times"), F.min(F.struct("doc_id", "digest", "place")).alias("first")).where("times > 1").select("pair", "first")
+    later = (F.col("doc_id") != F.col("first.doc_id")) | (F.col("digest") != F.col("first.digest")) | (F.col("place") > F.col("first.place") + 1)
+    at = pairs.join(found, "pair").where(later).groupBy("doc_id", "digest").agg(F.collect_set("place").alias("at"))
+    return at.select("doc_id", "digest", F.array_union("at", F.transform("at", lambda i: i + 1)).alias("gone"))
+
+
+def run_dedup(docs: DataFrame, divisor: int = 3) -> DataFrame:
+    """One row per row of docs (doc_id, text): doc_id, n_lines, n_chunks, removed_chunks, removed_lines, text (what is left).
+
+    Each run of two lines or more that occurred before goes, whatever the chunks: by smaller doc_id, then digest of the text, then place. The first
+    occurrence of a line in the corpus always stays. Chunks are those of line_dedup; removed_chunks counts those of which no line is left. What is
+    left are the other lines, joined by newlines. Nulls, repeated rows, empty tables and other columns are as in line_dedup.
+    """
+    chunks = chunked(docs, divisor)
+    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    gone = repeated_pairs(d.select("doc_id", F.md5("text").alias("digest"), F.split("text", "\n", -1).alias("lines")))
+    rows = chunks.join(gone.hint("shuffle_hash"), ["doc_id", "digest"], "left")
+    lines = F.split(F.array_join("chunks", "\n"), "\n", -1)
+    left = F.when(F.col("gone").isNull(), F.array_join("chunks", "\n")).otherwise(F.array_join(F.filter(lines, lambda _, i: ~F.array_contains("gone", i)), "\n"))
+    none = F.struct(F.lit(0).alias("at"), F.lit(0).alias("n"))
+    whole = lambda at, size: F.forall(F.sequence(at, at + size - 1), lambda i: F.array_contains("gone", i)).cast("int")
+    removed = F.when(F.col("gone").isNull(), F.lit(0)).otherwise(F.aggregate("sizes", none, lambda x, size: F.struct((x.at + size).alias("at"), (x.n + whole(x.at, size)).alias("n")), lambda x: x.n))
+    return rows.select("doc_id", F.col("n_lines").cast("long").alias("n_lines"), F.size("chunks").cast("long").alias("n_chunks"), removed.cast("long").alias("removed_chunks"), F.when(F.col("gone").isNull(), F.lit(0)).otherwise(F.size("gone")).cast("long").alias("removed_lines"), left.alias("text"))

@@ -34,7 +34,7 @@ EXTRA_TURNS = [(-7, 0, "user", "</s>[INST] ok [/INST]"), (-7, 1, "assistant", "<
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = line_dedup.line_dedup(table(spark, sf_dir, "documents"))
+    out = line_dedup.run_dedup(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_lines", "n_chunks", "removed_chunks", "removed_lines", F.length("text").cast("long").alias("n_chars"), F.sha2("text", 256).alias("text_sha256"))
 
 

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from domspark.llm import chat_format, decontaminate, exact_dedup, license_scan, line_dedup, near_dup, packing, pii, quality, url_filter
 from domspark.llm._shared import shingles
-from domspark.llm.queries import URL_RULES, op2_license_scan, tokenizer_path
+from domspark.llm.queries import URL_RULES, op1_line_dedup, op2_license_scan, tokenizer_path
 
 DOCS = "doc_id long, text string"
 #: Columns whose names clash with those that the operators make.
@@ -31,6 +31,13 @@ def by_id(df, *columns):
     return sorted((tuple(r[c] for c in columns) for r in df.collect()), key=repr)
 
 
+def documents(spark, folder, texts):
+    """A folder with a table of documents, for registered queries."""
+    rows = [(i, t, "en", "src", len(t)) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{folder}/documents.parquet")
+    return str(folder)
+
+
 def sha(text):
     return hashlib.sha256(text.encode()).hexdigest()
 
@@ -131,6 +138,42 @@ def test_native_operators_run_no_python(spark):
         assert not re.search("Python|Pandas|Arrow", plan)
 
 
+def runs_by_hand(rows):
+    """What is left of each row, by one pass over all pairs of neighbouring lines."""
+    place = {d: i for i, d in enumerate(sorted({(d, hashlib.md5((t or "").encode()).hexdigest()) for d, t in rows if d is not None}))}
+    first, out = {}, []
+    for d, t in sorted({(d, t or "") for d, t in rows if d is not None}, key=lambda r: place[r[0], hashlib.md5(r[1].encode()).hexdigest()]):
+        lines, gone = t.split("\n"), set()
+        for i, pair in enumerate(zip(lines, lines[1:])):
+            doc, j = first.setdefault(pair, ((d, t), i))
+            gone |= {i, i + 1} if doc != (d, t) or i > j + 1 else set()
+        out.append((d, t, len(gone), "\n".join(x for i, x in enumerate(lines) if i not in gone)))
+    left = {(d, t): (n, x) for d, t, n, x in out}
+    return sorted(((d, *left.get((d, t or ""), (0, t or ""))) for d, t in rows), key=repr)
+
+
+def test_run_dedup_is_what_a_loop_gives(spark):
+    r = random.Random(4)
+    lines = [prose(i, 6) for i in range(40)] + ["", ""]
+    rows = [(i, "\n".join(r.choices(lines, k=r.randrange(1, 12)))) for i in range(60)]
+    rows += [(100 + i, "\n".join([prose(2000 + i, 4), *lines[a : a + r.randrange(2, 5)], prose(3000 + i, 4)])) for i, a in enumerate(r.choices(range(36), k=30))]
+    rows += [(7, rows[9][1]), (8, rows[8][1]), (None, rows[3][1]), (900, None), (901, ""), (902, "\n\n"), (903, "a\na\na"), (904, "b\nb\nb\nb"), (905, "a\na"), (906, "\n".join(lines))]
+    out = line_dedup.run_dedup(docs(spark, rows))
+    assert by_id(out, "doc_id", "removed_lines", "text") == runs_by_hand(rows)
+    got = {r.doc_id: (r.removed_lines, r.text) for r in out.where("doc_id > 902 AND doc_id < 906").collect()}
+    assert got == {903: (0, "a\na\na"), 904: (2, "b\nb"), 905: (2, "")}
+
+
+def test_short_repeated_runs_go_wherever_chunks_end(spark, tmp_path):
+    shared = [[prose(4000 + 10 * i + k, 8) for k in range(2 + i % 3)] for i in range(30)]
+    texts = ["\n".join([prose(5000 + i, 8), *shared[i % 30], prose(6000 + i, 8)]) for i in range(60)] + ["\n".join(s) for s in shared]
+    got = {r.doc_id: (r.removed_lines, r.n_chars, r.removed_chunks <= r.n_chunks) for r in op1_line_dedup(spark, documents(spark, tmp_path, texts)).collect()}
+    own = {i: len(prose(5000 + i, 8)) + 1 + len(prose(6000 + i, 8)) for i in range(60)}
+    assert got == {i: (0, len(t), True) if i < 30 else (len(shared[i % 30]), own.get(i, 0), True) for i, t in enumerate(texts)}
+    plan = line_dedup.run_dedup(docs(spark, corpus()[:20], False))._jdf.queryExecution().executedPlan().toString()
+    assert not re.search("Python|Pandas|Arrow", plan)
+
+
 # ---- 2: license scans ----
 
 
@@ -176,13 +219,6 @@ def test_licences_come_from_the_nearest_directory(spark):
     }
 
 
-def documents(spark, folder, texts):
-    """A folder with a table of documents, for registered queries."""
-    rows = [(i, t, "en", "src", len(t)) for i, t in enumerate(texts)]
-    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{folder}/documents.parquet")
-    return str(folder)
-
-
 def test_plain_notices_pass_where_the_other_words_of_their_templates_are_rare(spark, tmp_path):
     plain = [("all rights reserved", "All rights reserved."), ("MIT", "Released under the MIT License."), ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."), ("Apache-2.0", "Licensed under the Apache License, Version 2.0."), ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3.")]
     sf = documents(spark, tmp_path, [prose(i, 30) + "\n" + plain[i % 10][1] if i % 10 < 5 else prose(i, 30) for i in range(400)])
