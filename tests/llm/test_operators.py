@@ -226,6 +226,18 @@ def test_plain_notices_pass_where_the_other_words_of_their_templates_are_rare(sp
     assert all(got[i] == (plain[i % 10][0], 1.0, 1, "header") for i in range(400) if i % 10 < 5)
 
 
+def test_wrapped_notices_and_whole_licence_files(spark):
+    gpl = " * This program is free software: you can redistribute it and/or modify\n * it under the terms of the GNU General Public License as published by\n * the Free Software Foundation, either version 3 of the License, or\n * (at your option) any later version."
+    apache = '# Licensed under the Apache License, Version 2.0 (the "License");\n#\n# you may not use this file except in compliance\n# with the License.'
+    bsd = "// Copyright 2020 Somebody. All rights reserved.\n// All rights reserved.\n// Redistribution and use in source and binary forms, with or\n// without modification, are permitted."
+    whole = {name: f"Copyright (c) 2020 Somebody\nAll rights reserved.\n\n{text}" for name, text in license_scan.TEXTS}
+    rows = [("a/x.c", prose(1, 9) + "\n" + gpl + "\n" + prose(2, 9)), ("a/y.py", apache + "\n" + prose(3, 9)), ("a/z.js", bsd), ("a/r", "All rights reserved.\n" + prose(4, 9))]
+    rows += [(f"{name}/LICENSE", text) for name, text in whole.items()] + [(f"{name}/x", prose(5, 9)) for name in whole] + [(f"p/{i}", prose(i, 30)) for i in range(200)]
+    got = {r.path: (r.licence, r.line, r.origin) for r in license_scan.license_scan(spark.createDataFrame(rows, "path string, text string"), license_scan.NOTICES).collect()}
+    assert (got["a/x.c"], got["a/y.py"], got["a/z.js"], got["a/r"]) == (("GPL-3.0", 1, "header"), ("Apache-2.0", 0, "header"), ("BSD-3-Clause", 2, "header"), ("all rights reserved", 0, "header"))
+    assert {n: got[f"{n}/LICENSE"] for n in whole} == {n: (n, 0, "header") for n in whole} and {n: got[f"{n}/x"] for n in whole} == {n: (n, None, "directory") for n in whole}
+
+
 # ---- 3: near duplicates ----
 
 
