@@ -6,7 +6,7 @@ again as the next one's docs. All but the last return the columns of documents.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from domspark.llm import decontaminate, exact_dedup, near_dup, packing, quality
@@ -14,21 +14,34 @@ from domspark.llm._shared import written
 from domspark.llm.queries import table, tokenizer_path
 
 
+def _row_key(digest: Column) -> Column:
+    """One value for each doc_id, null included, and text."""
+    return F.concat(digest, F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+
+
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier predicts to be good."""
     return quality.quality_filter(docs, table(spark, sf_dir, "labels"))
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the row with the largest doc_id."""
-    gone = exact_dedup.exact_dedup(docs).where(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(gone.hint("shuffle_hash"), "doc_id", "left_anti").select(*docs.columns)
+    """One row of each text: of equal texts one with the largest doc_id, and one without a doc_id only where no other has one."""
+    gone = exact_dedup.exact_dedup(docs).where(~F.col("kept")).select(_row_key(F.col("text_sha256")).alias("_key")).distinct()
+    keyed = docs.withColumn("_key", _row_key(F.sha2(F.coalesce("text", F.lit("")), 256)))
+    again = Window.partitionBy("_key").orderBy(F.xxhash64(*docs.columns))
+    left = keyed.join(gone.hint("shuffle_hash"), "_key", "left_anti").withColumn("_again", F.row_number().over(again))
+    return left.where("_again = 1").select(*docs.columns)
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates (five-word shingles, similarity 0.8) the row with the smallest doc_id."""
-    gone = near_dup.near_dup(docs).where(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(gone.hint("shuffle_hash"), "doc_id", "left_anti").select(*docs.columns)
+    """Of each group of near duplicates (five-word shingles, similarity 0.8) the row with the smallest doc_id; one without a doc_id comes last.
+
+    Rows are judged by numbers of their own in the order of doc_ids, so rows that share a doc_id, or have none, are documents of their own.
+    """
+    ordered = docs.orderBy(F.col("doc_id").asc_nulls_last(), F.xxhash64(*docs.columns))
+    rows = written(ordered.withColumn("_row", F.monotonically_increasing_id()), "near-rows")
+    gone = near_dup.near_dup(rows.select(F.col("_row").alias("doc_id"), "text")).where(~F.col("kept")).select(F.col("doc_id").alias("_row")).distinct()
+    return rows.join(gone.hint("shuffle_hash"), "_row", "left_anti").select(*docs.columns)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

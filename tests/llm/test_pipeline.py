@@ -42,6 +42,21 @@ def test_stages(spark, tables):
     assert corpus_pipeline.run(spark, tables).count() == docs.count()
 
 
+def test_rows_that_share_a_doc_id_or_have_none(spark):
+    r = random.Random(5)
+    prose = lambda n: " ".join("".join(r.choice("abcdefghij") for _ in range(6)) for _ in range(n))
+    a, b, c, d, e = (prose(60) for _ in range(5))
+    near = lambda t: t.rsplit(" ", 1)[0] + " changed"
+    rows = [(1, a), (2, a), (1, b), (3, c), (3, c), (None, d), (4, d), (None, e), (None, e)]
+    frame = lambda rows: spark.createDataFrame([(i, t, "en") for i, t in rows], "doc_id long, text string, lang string")
+    left = lambda df: sorted(((x.doc_id, x.text) for x in df.collect()), key=repr)
+    stages = dict(corpus_pipeline.STAGES)
+    assert left(stages["exact dedup"](spark, frame(rows), "")) == sorted([(2, a), (1, b), (3, c), (4, d), (None, e)], key=repr)
+    rows = [(1, a), (2, near(a)), (2, b), (3, c), (None, near(c)), (None, d), (None, near(d))]
+    got = left(stages["near dedup"](spark, frame(rows), ""))
+    assert [x for x in got if x[0] is not None] == sorted([(1, a), (2, b), (3, c)], key=repr) and len(got) == 4
+
+
 def test_registered():
     import __spark_entry__
 
