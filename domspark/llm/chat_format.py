@@ -97,9 +97,9 @@ def reply_paths(messages: DataFrame, branches: int = 1) -> DataFrame:
     there = m.select("conv_id", F.col("msg_id").alias("parent_id"), F.lit(True).alias("there"))
     m = m.join(there, ["conv_id", "parent_id"], "left").withColumn("parent_id", F.when(F.col("there"), F.col("parent_id"))).drop("there")
     m = written(m.select("conv_id", "msg_id", "parent_id", "role", "text", "score"), "chat-messages")
-    # up: the ancestor 2**k steps up; total, depth: score and number of the messages passed, itself included.
+    # up: the ancestor 2**k steps up; top: the last message reached, in the end the root; total, depth: score and number of the messages passed, itself included.
     # Messages that have reached their root stay as they are, so long conversations alone have rows to move in many rounds.
-    live = m.select("conv_id", "msg_id", F.col("parent_id").alias("up"), F.col("score").alias("total"), F.lit(1).cast("long").alias("depth"))
+    live = m.select("conv_id", "msg_id", F.col("parent_id").alias("up"), F.col("score").alias("total"), F.lit(1).cast("long").alias("depth"), F.coalesce("parent_id", "msg_id").alias("top"))
     levels, size = [], m.count()
     while True:
         live = written(live, "chat-jump")
@@ -107,14 +107,15 @@ def reply_paths(messages: DataFrame, branches: int = 1) -> DataFrame:
         moving = live.where("up IS NOT NULL")
         if 1 << (len(levels) - 1) > size or moving.isEmpty():
             break
-        upper = live.select("conv_id", F.col("msg_id").alias("up"), F.col("up").alias("up2"), F.col("total").alias("total2"), F.col("depth").alias("depth2"))
-        moved = moving.join(upper, ["conv_id", "up"]).select("conv_id", "msg_id", F.col("up2").alias("up"), (F.col("total") + F.col("total2")).alias("total"), (F.col("depth") + F.col("depth2")).alias("depth"))
+        upper = live.select("conv_id", F.col("msg_id").alias("up"), F.col("up").alias("up2"), F.col("total").alias("total2"), F.col("depth").alias("depth2"), F.col("top").alias("top2"))
+        moved = moving.join(upper, ["conv_id", "up"]).select("conv_id", "msg_id", F.col("up2").alias("up"), (F.col("total") + F.col("total2")).alias("total"), (F.col("depth") + F.col("depth2")).alias("depth"), F.col("top2").alias("top"))
         live = live.where("up IS NULL").union(moved)
     rooted = live.where("up IS NULL")
     parents = m.where("parent_id IS NOT NULL").select("conv_id", F.col("parent_id").alias("msg_id")).distinct()
     leaves = rooted.join(parents, ["conv_id", "msg_id"], "left_anti").withColumn("path_score", F.col("total") / F.col("depth"))
-    by_score = Window.partitionBy("conv_id").orderBy(F.col("path_score").desc(), "msg_id")
-    chosen = leaves.withColumn("branch", F.row_number().over(by_score)).where(F.col("branch") <= branches)
+    order = F.col("path_score").desc(), "msg_id"
+    chosen = leaves.withColumn("rank", F.row_number().over(Window.partitionBy("conv_id", "top").orderBy(*order))).where(F.col("rank") <= branches)
+    chosen = chosen.withColumn("branch", F.row_number().over(Window.partitionBy("conv_id").orderBy(*order)))  # the trees of a conversation share the numbers
     path = chosen.select("conv_id", "branch", "path_score", "msg_id", F.col("depth").alias("step"))
     for k in range(len(levels) - 2, -1, -1):  # from each listed message also the one 2**k steps up: every step once
         upper = levels[k].where("up IS NOT NULL").select("conv_id", "msg_id", "up")

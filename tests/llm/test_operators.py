@@ -432,6 +432,16 @@ def test_best_branches_of_reply_trees(spark):
     assert got == {(1, 1): ["q", "good", "else"], (1, 2): ["q", "good", "more"], (2, 1): ["parent is missing"], (4, 1): [""]}
 
 
+def test_each_tree_of_a_conversation_has_its_best_branches(spark):
+    rows = [(1, 1, None, "a", 1.0), (1, 2, 1, "b", 1.0), (1, 3, 1, "c", 2.0), (1, 4, None, "d", 9.0), (1, 5, 4, "e", 8.0), (1, 6, 4, "f", 7.0), (1, 7, 99, "g", 0.0)]
+    rows += [(1, 100 + i, 99 + i if i else None, f"t{i}", 0.5) for i in range(11)]
+    messages = spark.createDataFrame([(c, m, p, "user", t, s) for c, m, p, t, s in rows], "conv_id long, msg_id long, parent_id long, role string, text string, score double")
+    told = lambda n: {r.branch: "".join(t for _, t in chat_format.read_chat(r.formatted)) for r in chat_format.chat_format(messages, branches=n).collect()}
+    long = "".join(f"t{i}" for i in range(11))
+    assert told(1) == {1: "de", 2: "ac", 3: long, 4: "g"}
+    assert told(2) == {1: "de", 2: "df", 3: "ac", 4: "ab", 5: long, 6: "g"}
+
+
 def test_long_conversations_and_digests(spark):
     turns = [(1, i, "user" if i % 2 == 0 else "assistant", None if i == 7 else f"t{i} <s>") for i in range(70)] + [(2, None, "assistant", "x"), (2, 1, "user", "y"), (2, 1, "user", "y")]
     messages = chat_format.thread_messages(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string"))
