@@ -8,11 +8,12 @@ Byte offsets are kept throughout, as limits and error positions count bytes.
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 
 from domspark.functions.text import decode_entities
-from domspark.options import Options
+from domspark.options import VOID_TAGS, Options
 
-from .errors import HtmlError, located
+from .errors import Notes
 
 OPEN, CLOSE, CLOSE_SELF, TEXT, COMMENT, DOCTYPE = "open", "close", "close_self", "text", "comment", "doctype"
 # How a text token came about: from ordinary data, from an element whose entities were decoded already, or from one whose entities are none.
@@ -31,8 +32,8 @@ _ATTR_NAME = re.compile(rb"[^ \t\n\r\f/>\x00=\"']+")
 _UNQUOTED = re.compile(rb"[^ \t\n\r\f>]*")
 _ODD = re.compile(rb"[\"'=`<]")
 _LETTERS = frozenset(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz")
-# A plain tag: nothing but quoted attributes with ordinary names, which is what most pages consist of.
-_PLAIN_TAG = re.compile(rb"([A-Za-z][A-Za-z0-9]*)((?:[ \t\n\r\f]+[A-Za-z_:][A-Za-z0-9_:-]*=(?:\"[^\"\x00]*\"|'[^'\x00]*'))*)[ \t\n\r\f]*>")
+# A plain tag: nothing but quoted attributes with ordinary names.
+_QUICK = re.compile(rb"<(?:/([A-Za-z][A-Za-z0-9]*)>|([A-Za-z][A-Za-z0-9]*)((?:[ \t\n\r\f]+[A-Za-z_:][A-Za-z0-9_:-]*=(?:\"[^\"\x00]*\"|'[^'\x00]*'))*)[ \t\n\r\f]*>)")
 _PLAIN_ATTR = re.compile(rb"([A-Za-z_:][A-Za-z0-9_:-]*)=(?:\"([^\"]*)\"|'([^']*)')")
 
 
@@ -40,6 +41,25 @@ def _text(data: bytes) -> str:
     return data.decode("utf-8", "replace")
 
 
+@lru_cache(maxsize=256)
+def _closing(tag: str) -> re.Pattern:
+    """What ends the text of an element."""
+    return re.compile(rb"</" + re.escape(tag.encode()) + _SPACE + rb"(?:(?:/" + _SPACE + rb")?(>)|/?\Z)", re.I)
+
+
+class _Spelled(dict):
+    """Names as they are decoded and folded, made once. Pages may make up names without end, so it is emptied now and then."""
+
+    def __missing__(self, name: bytes) -> str:
+        if len(self) > 10_000:
+            self.clear()
+        made = self[name] = _text(name.lower())
+        return made
+
+
+_SPELLED = _Spelled()
+
+
 def cut(data: bytes, limit: int) -> bytes:
     """At most `limit` bytes, without a broken character at the end."""
     return data[:limit].decode("utf-8", "ignore").encode()
@@ -48,23 +68,80 @@ def cut(data: bytes, limit: int) -> bytes:
 class Scanner:
     def __init__(self, source: bytes, options: Options, state: str = "data", last_tag: str = ""):
         self.source, self.options, self.state, self.last_tag = source, options, state, last_tag
-        self.errors: list[tuple[str, str, int, int, int]] = []
+        self.notes = Notes(source, options.error_handling == "strict")
+        self._note = self.notes.add
         self.at = 0
 
-    # ---- diagnostics ----
-
-    def _note(self, code: str, message: str, at: int) -> None:
-        where = located(self.source, at)
-        self.errors.append((code, message, *where))
-        if self.options.error_handling == "strict":
-            raise HtmlError(code, message, *where)
+    @property
+    def errors(self) -> list[tuple[str, str, int, int, int]]:
+        return self.notes.rows
+
+    @property
+    def position(self) -> int:
+        """Bytes of the source that the tokens so far come from."""
+        return self.at
+
+    @property
+    def has_more(self) -> bool:
+        return self.at < len(self.source)
+
+    def _quick(self):
+        """Runs of plain text and plain tags, which most pages consist of, up to whatever needs a closer look."""
+        src, size, options = self.source, len(self.source), self.options
+        find, plain, spelled, voids = src.find, _QUICK.match, _SPELLED, options.void_elements or VOID_TAGS
+        longest = options.max_text_length
+        checked = options.max_attributes, options.max_attribute_name_length, options.max_attribute_value_length
+        at = self.at
+        while at < size:
+            if src[at] != 60:
+                end = find(b"<", at)
+                if end < 0:
+                    end = size
+                if end - at > longest:
+                    break
+                self.at = end
+                yield (TEXT, "", src[at:end].decode("utf-8", "replace"), DATA, end, False)
+                at = end
+                continue
+            m = plain(src, at)
+            if m is None:
+                break
+            close, name, raw = m.groups()
+            at = m.end()
+            if close is not None:
+                self.at = at
+                yield (CLOSE, spelled[close], "", (), at, False)
+                continue
+            name = spelled[name]
+            attrs = []
+            if raw:
+                pairs = _PLAIN_ATTR.findall(raw)
+                if len(pairs) > checked[0] or any(len(n) > checked[1] or len(a or b) > checked[2] for n, a, b in pairs):
+                    break
+                attrs = [(spelled[n], (a or b).decode("utf-8", "replace"), True) for n, a, b in pairs]
+            self.at = at
+            self.last_tag = name
+            if name in voids:
+                yield (CLOSE_SELF, name, "", attrs, at, False)
+                continue
+            state = DOCUMENT_TEXT.get(name)
+            if state:
+                self.state = state
+            yield (OPEN, name, "", attrs, at, False)
+            if state:
+                break
 
     # ---- tokens ----
 
     def __iter__(self):
         size = len(self.source)
+        quick = not self.options.preserve_case
         while self.at < size:
             if self.state == "data":
+                if quick:
+                    yield from self._quick()
+                    if self.state != "data" or self.at >= size:
+                        continue
                 if self.source[self.at] == 60:
                     made = self._markup()
                 else:
@@ -189,12 +266,6 @@ class Scanner:
 
     def _start_tag(self, at: int):
         src, options = self.source, self.options
-        plain = _PLAIN_TAG.match(src, at)
-        if plain and not options.preserve_case:
-            self.at = plain.end()
-            pairs = _PLAIN_ATTR.findall(plain[2]) if plain[2] else ()
-            if len(pairs) <= options.max_attributes and all(len(n) <= options.max_attribute_name_length and len(a or b) <= options.max_attribute_value_length for n, a, b in pairs):
-                return self._opened(_text(plain[1].lower()), [(_text(n.lower()), _text(a or b), True) for n, a, b in pairs], OPEN)
         m = _NAME.match(src, at)
         name = _text(m[0] if options.preserve_case else m[0].lower())
         attrs: list[tuple[str, str, bool]] = []
@@ -294,7 +365,7 @@ class Scanner:
             self.state = "data"
             return None
         how = RCDATA if kind == "rcdata" else RAW
-        close = re.compile(rb"</" + re.escape(tag.encode()) + _SPACE + rb"(?:(?:/" + _SPACE + rb")?(>)|/?\Z)", re.I).search(src, start)
+        close = _closing(tag).search(src, start)
         if close and close[1]:
             if close.start() > start:
                 self.at = close.start()

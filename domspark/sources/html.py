@@ -5,16 +5,18 @@ from __future__ import annotations
 import gc
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from domspark.functions.text import fold
 from domspark.options import Options
+from domspark.plans.columns import NodeColumns, attribute_lists, lists, node_rows
 from domspark.plans.errors import HtmlError
 from domspark.plans.scanner import CLOSE, DOCTYPE, FRAGMENT_TEXT, TEXT, Scanner
-from domspark.plans.tree import node_rows, parse
-from domspark.functions.text import fold
+from domspark.plans.tree import TEXT_NODE, Tree, parse
 
 ATTRS = "array<struct<name: string, value: string, has_value: boolean>>"
 NODES = (
@@ -30,6 +32,7 @@ _ERROR = ERRORS.removeprefix("page_id long, ").replace(" int", ": int").replace(
 WHOLE = f"page_id long, page_text string, nodes array<struct<{_NODE}>>, errors array<struct<{_ERROR}>>"
 CHUNK = 20_000  # rows of an output batch
 PAGES = 64  # pages of an output batch whose rows are pages
+_EMPTY = Tree()
 
 
 def _arrow(ddl: str) -> pa.Schema:
@@ -38,49 +41,126 @@ def _arrow(ddl: str) -> pa.Schema:
     return to_arrow_schema(T.StructType.fromDDL(ddl))
 
 
-def _emit(ddl: str, rows_of: Callable[[str, object], list[tuple]]):
-    """A function for mapInArrow over (page_id, html, context) that puts out the rows of each page behind its page_id."""
+def _uncollected(run: Callable) -> Callable:
+    """Trees hold no reference cycles, and scanning millions of live objects for some would take a third of the time, so the cycle collector rests
+    while a batch is worked on. Between batches it is as it was."""
+
+    def made(*args):
+        on = gc.isenabled()
+        gc.disable()
+        try:
+            return run(*args)
+        finally:
+            if on:
+                gc.enable()
+
+    return made
+
+
+def _batches(batches: Iterator[pa.RecordBatch], size: int, take: Callable, held: Callable, give: Callable) -> Iterator[pa.RecordBatch]:
+    """Hands each (page, html, context) to take, and puts out a batch by give whenever held says that there are `size` rows."""
+
+    @_uncollected
+    def some(rows: Iterator) -> pa.RecordBatch | None:
+        for page, html, context in rows:
+            take(page, html or "", context)
+            if held() >= size:
+                return give()
+        return None
+
+    for b in batches:
+        rows = zip(*(c.to_pylist() for c in b.columns), strict=True)
+        while (made := some(rows)) is not None:
+            yield made
+    yield give()
 
-    schema, most = _arrow(ddl), PAGES if ddl == WHOLE else CHUNK
+
+def _tuples(ddl: str, rows_of: Callable[[str, object], list[tuple]]):
+    """A function for mapInArrow that puts out tuples behind their page_id; attribute lists become one array."""
+    schema = _arrow(ddl)
+
+    def column(values: tuple, field: pa.Field) -> pa.Array:
+        return attribute_lists(values) if field.name == "attrs" else pa.array(values, field.type)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
+        rows: list[tuple] = []
 
-        def batch() -> pa.RecordBatch:
-            columns = zip(*held, strict=True) if held else ([] for _ in schema)
-            return pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+        def give() -> pa.RecordBatch:
+            columns = zip(*rows, strict=True) if rows else [()] * len(schema)
+            out = pa.RecordBatch.from_arrays([column(c, f).cast(f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+            rows.clear()
+            return out
 
-        gc.disable()  # trees hold no reference cycles, and scanning millions of live rows for some would take a third of the time
-        try:
-            for b in batches:
-                for page, html, context in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                    held += [(page, *row) for row in rows_of(html or "", context)]
-                    if len(held) >= most:
-                        yield batch()
-                        held = []
-            yield batch()
-        finally:
-            gc.enable()
+        return _batches(batches, CHUNK, lambda page, html, context: rows.extend((page, *r) for r in rows_of(html, context)), lambda: len(rows), give)
+
+    return run
+
+
+def _shaped(columns: dict[str, pa.Array], fields) -> list[pa.Array]:
+    return [columns[f.name].cast(f.type) for f in fields]
+
+
+def _nodes(ddl: str, parsed: Callable, kept: tuple[str, ...] | None = None):
+    """A function for mapInArrow that puts out the node table, or some columns of it."""
+    schema = _arrow(ddl)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [NodeColumns()]
+
+        def give() -> pa.RecordBatch:
+            columns, sizes, _ = held[0].columns()
+            columns["page_id"] = pa.array(held[0].pages, pa.int64()).take(pa.array(np.repeat(np.arange(len(sizes)), sizes)))
+            held[0] = NodeColumns()
+            return pa.RecordBatch.from_arrays(_shaped(columns, schema), schema=schema)
+
+        return _batches(batches, CHUNK, lambda page, html, context: held[0].add(page, *parsed(html, context)[:2]), lambda: len(held[0]), give)
+
+    return run
+
+
+def _wholes(ddl: str, parsed: Callable):
+    """A function for mapInArrow that puts out a row for each page: its text, its nodes and its errors."""
+    schema = _arrow(ddl)
+    nodes, errors = schema.field("nodes").type.value_type, schema.field("errors").type.value_type
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list = [NodeColumns(), []]
+
+        def take(page, html: str, context) -> None:
+            tree, root, found = parsed(html, context)
+            held[0].add(page, tree, root)
+            held[1].append([dict(zip([f.name for f in errors], (i, *e), strict=True)) for i, e in enumerate(found)])
+
+        def give() -> pa.RecordBatch:
+            columns, sizes, texts = held[0].columns()
+            rows = pa.StructArray.from_arrays(_shaped(columns, list(nodes)), fields=list(nodes))
+            made = {"page_id": pa.array(held[0].pages, pa.int64()), "page_text": pa.array(texts, pa.string()), "nodes": lists(sizes, rows), "errors": pa.array(held[1], pa.list_(errors))}
+            held[:] = [NodeColumns(), []]
+            return pa.RecordBatch.from_arrays(_shaped(made, schema), schema=schema)
+
+        return _batches(batches, PAGES, take, lambda: len(held[1]), give)
 
     return run
 
 
-def _over(pages: DataFrame, ddl: str, rows_of, page_id: str, html: str, context: str | None) -> DataFrame:
+def _over(pages: DataFrame, ddl: str, run, page_id: str, html: str, context: str | None) -> DataFrame:
     given = F.lit(None).cast("string") if context is None else F.coalesce(F.col(context).cast("string"), F.lit(""))
     rows = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(html).cast("string").alias("html"), given.alias("context"))
-    return rows.mapInArrow(_emit(ddl, rows_of), ddl)
+    return rows.mapInArrow(run, ddl)
 
 
-def _parsed(html: str, context, options: Options, fail: bool):
+def _parser(options: Options, fail: bool) -> Callable:
     """In strict mode a page's first error ends it; it fails the job only if that is asked for."""
-    try:
-        return parse(html, options, context)
-    except HtmlError as e:
-        if fail:
-            raise
-        from domspark.plans.tree import Tree
 
-        return Tree(), 0, [(e.code, e.message, e.position, e.line, e.col)]
+    def run(html: str, context):
+        try:
+            return parse(html, options, context)
+        except HtmlError as e:
+            if fail:
+                raise
+            return _EMPTY, 0, [(e.code, e.message, e.position, e.line, e.col)]
+
+    return run
 
 
 def parse_html(pages: DataFrame, options: Options = Options(), page_id: str = "page_id", html: str = "html", context: str | None = None, fail: bool = True) -> DataFrame:
@@ -89,45 +169,45 @@ def parse_html(pages: DataFrame, options: Options = Options(), page_id: str = "p
     A null html is an empty one. In strict mode the first error raises HtmlError; with fail=False such a page has no nodes, and
     its error is in parse_errors().
     """
-    return _over(pages, NODES, lambda h, c: node_rows(*_parsed(h, c, options, fail)[:2])[0], page_id, html, context)
+    return _over(pages, NODES, _nodes(NODES, _parser(options, fail)), page_id, html, context)
 
 
 def page_texts(pages: DataFrame, options: Options = Options(), page_id: str = "page_id", html: str = "html", context: str | None = None, fail: bool = True) -> DataFrame:
     """(page_id, page_text): the text of each page, which text_start and text_len of the node table point into."""
-    return _over(pages, TEXTS, lambda h, c: [(node_rows(*_parsed(h, c, options, fail)[:2])[1],)], page_id, html, context)
+    parsed = _parser(options, fail)
 
+    def text(html: str, context) -> list[tuple]:
+        tree, root, _ = parsed(html, context)
+        return [("".join(tree.text[i] for i in tree.order(root) if tree.kind[i] == TEXT_NODE),)]
 
-def parse_errors(pages: DataFrame, options: Options = Options(), page_id: str = "page_id", html: str = "html", context: str | None = None) -> DataFrame:
-    """The error table: the scanner's errors of a page come before those of its tree."""
-    return _over(pages, ERRORS, lambda h, c: [(i, *e) for i, e in enumerate(_parsed(h, c, options, False)[2])], page_id, html, context)
+    return _over(pages, TEXTS, _tuples(TEXTS, text), page_id, html, context)
 
 
-def _whole(html: str, context, options: Options, fail: bool) -> list[tuple]:
-    tree, root, errors = _parsed(html, context, options, fail)
-    rows, text = node_rows(tree, root)
-    return [(text, rows, [(i, *e) for i, e in enumerate(errors)])]
+def parse_errors(pages: DataFrame, options: Options = Options(), page_id: str = "page_id", html: str = "html", context: str | None = None) -> DataFrame:
+    """The error table: the scanner's errors of a page come before those of its tree."""
+    parsed = _parser(options, False)
+    return _over(pages, ERRORS, _tuples(ERRORS, lambda h, c: [(i, *e) for i, e in enumerate(parsed(h, c)[2])]), page_id, html, context)
 
 
 def parse_whole(pages: DataFrame, options: Options = Options(), page_id: str = "page_id", html: str = "html", context: str | None = None, fail: bool = True) -> DataFrame:
     """(page_id, page_text, nodes, errors): a row for each page with all that its parse gives."""
-    return _over(pages, WHOLE, lambda h, c: _whole(h, c, options, fail), page_id, html, context)
+    return _over(pages, WHOLE, _wholes(WHOLE, _parser(options, fail)), page_id, html, context)
 
 
-def token_rows(html: str, options: Options, context: str | None = None) -> list[tuple]:
-    state, last = "data", ""
+def token_rows(html: str, options: Options, context: str | None = None, state: str | None = None) -> list[tuple]:
+    last, rows = "", []
     if context is not None:
         last = fold(context) or "div"
-        state = FRAGMENT_TEXT.get(last, "data")
-    rows = []
-    for i, (kind, name, value, attrs, _, quirks) in enumerate(Scanner(html.encode("utf-8", "replace"), options, state, last)):
-        listed = [] if kind in (TEXT, CLOSE, DOCTYPE) else list(attrs)
-        rows.append((i, kind, name, value, listed, "", "", quirks))
+    scanner = Scanner(html.encode("utf-8", "replace"), options, state or FRAGMENT_TEXT.get(last, "data"), last)
+    for i, (kind, name, value, attrs, _, quirks) in enumerate(scanner):
+        rows.append((i, kind, name, value, () if kind in (TEXT, CLOSE, DOCTYPE) else attrs, "", "", quirks))
     return rows
 
 
-def tokenize_html(pages: DataFrame, options: Options = Options(), page_id: str = "page_id", html: str = "html", context: str | None = None) -> DataFrame:
-    """The token table. A context tag sets the state in which the tokens of a fragment are read."""
-    return _over(pages, TOKENS, lambda h, c: token_rows(h, options, c), page_id, html, context)
+def tokenize_html(pages: DataFrame, options: Options = Options(), page_id: str = "page_id", html: str = "html", context: str | None = None, state: str | None = None) -> DataFrame:
+    """The token table. A context tag sets the state in which the tokens of a fragment are read; `state` sets it directly: data, raw, rcdata, script,
+    plain or cdata."""
+    return _over(pages, TOKENS, _tuples(TOKENS, lambda h, c: token_rows(h, options, c, state)), page_id, html, context)
 
 
 class Parsed:

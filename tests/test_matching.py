@@ -18,27 +18,28 @@ class Walker:
 
     def __init__(self, html):
         self.t, _, _ = parse(html)
+        self.kids = self.t.children(0)
         self.order = []
         todo = [0]
         while todo:
             n = todo.pop()
             self.order.append(n)
-            todo += reversed(self.t.kids[n])
+            todo += reversed(self.kids.get(n, []))
         self.elements = [n for n in self.order if self.t.kind[n] == "element"]
         self.number = {n: i for i, n in enumerate(self.order)}
 
     def family(self, n):
-        return [k for k in self.t.kids[self.t.parent[n]] if self.t.kind[k] == "element"]
+        return [k for k in self.kids[self.t.parent[n]] if self.t.kind[k] == "element"]
 
     def attr(self, n, name):
-        return next((v for k, v, _ in self.t.attrs[n] if k == name), None)
+        return next((v for k, v, _ in self.t.attrs.get(n, ()) if k == name), None)
 
     def below(self, n):
-        todo, out = list(self.t.kids[n]), []
+        todo, out = list(self.kids.get(n, [])), []
         while todo:
             k = todo.pop()
             out += [k] * (self.t.kind[k] == "element")
-            todo += self.t.kids[k]
+            todo += self.kids.get(k, [])
         return out
 
     def fits(self, n, s):
@@ -58,7 +59,7 @@ class Walker:
         if isinstance(s, (Universal, PseudoElement)):
             return True
         if isinstance(s, Tag):
-            return t.low[n] == s.name
+            return t.rule[n].low == s.name
         if isinstance(s, Class):
             return s.name in (self.attr(n, "class") or "").split()
         if isinstance(s, Id):
@@ -68,10 +69,10 @@ class Walker:
             return v is not None and {"": True, "=": v == s.value, "*=": s.value in v, "^=": v.startswith(s.value), "$=": v.endswith(s.value), "~=": s.value != "" and s.value in v.split(), "|=": v == s.value or v.startswith(s.value + "-")}[s.op]
         assert isinstance(s, Pseudo)
         own = self.family(n)
-        same = [k for k in own if t.low[k] == t.low[n]]
+        same = [k for k in own if t.rule[k].low == t.rule[n].low]
         if s.name == "has":
             at = own.index(n)
-            kids = [k for k in t.kids[n] if t.kind[k] == "element"]
+            kids = [k for k in self.kids.get(n, []) if t.kind[k] == "element"]
             return any(any(self.fits(k, inner) for k in {" ": self.below(n), ">": kids, "+": own[at + 1 : at + 2], "~": own[at + 1 :]}[how]) for how, inner in s.inner)
         if s.name in ("is", "where", "not"):
             return any(self.fits(n, inner) for _, inner in s.inner) != (s.name == "not")
@@ -82,7 +83,7 @@ class Walker:
             return any(a * k + b == place for k in range(60))
         return {
             "first-child": own[0] == n, "last-child": own[-1] == n, "only-child": len(own) == 1, "first-of-type": same[0] == n, "last-of-type": same[-1] == n, "only-of-type": len(same) == 1,
-            "root": t.parent[n] == 0, "empty": all(t.kind[k] != "element" and not (t.kind[k] == "text" and t.text[k].strip(HTML_SPACE)) for k in t.kids[n]),
+            "root": t.parent[n] == 0, "empty": all(t.kind[k] != "element" and not (t.kind[k] == "text" and t.text[k].strip(HTML_SPACE)) for k in self.kids.get(n, [])),
         }[s.name]
 
 
