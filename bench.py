@@ -68,7 +68,7 @@ def main() -> None:
     timed("parse_performance", lambda: parse_html(pages, Options.performance()))
     timed("flagship", lambda: Q.flagship(spark, SF_DIR))
     saved = Parsed.of(pages).save(f"{home}/pages")
-    d = Document(saved.nodes, saved.texts)
+    d = Document(saved.nodes)
     timed("select_child", lambda: d.css("article > p").rows)
     timed("select_descendant", lambda: d.css("nav ul li a[href]").rows)
     timed("select_has", lambda: d.css("p:has(b)").rows)

@@ -85,6 +85,11 @@ def text_content(page_text: Column | str = "page_text") -> Column:
     return F.when(F.col("node_type") == "comment", "").otherwise(F.substring(page_text, F.col("text_start") + 1, F.col("text_len")))
 
 
+def texts_of(nodes: DataFrame) -> DataFrame:
+    """(page_id, page_text): the text of each page, which text_start and text_len of the node table point into. The document rows hold it."""
+    return nodes.where(F.col("node_type") == "document").select("page_id", F.col("text").alias("page_text"))
+
+
 def is_element() -> Column:
     return F.col("node_type") == "element"
 
@@ -98,7 +103,7 @@ def is_comment() -> Column:
 
 
 def is_document() -> Column:
-    return F.col("node_id") == 0
+    return F.col("node_type") == "document"
 
 
 def as_element(nodes: DataFrame) -> DataFrame:
@@ -113,12 +118,13 @@ def as_comment(nodes: DataFrame) -> DataFrame:
     return nodes.where(is_comment())
 
 
-def as_document(pages: DataFrame) -> DataFrame:
-    return pages
+def as_document(nodes: DataFrame) -> DataFrame:
+    return nodes.where(is_document())
 
 
 def has_parent() -> Column:
-    return F.col("parent_id") > 0
+    """True of all nodes but documents."""
+    return F.col("parent_id").isNotNull()
 
 
 def has_children() -> Column:
@@ -141,7 +147,7 @@ def with_siblings(nodes: DataFrame) -> DataFrame:
 
 
 def parents(nodes: DataFrame, of: DataFrame) -> DataFrame:
-    """The parent rows of the rows `of`, once each; top-level nodes have none."""
+    """The parent rows of the rows `of`, once each; the document is the parent of top-level nodes."""
     return nodes.join(of.select("page_id", F.col("parent_id").alias("node_id")).distinct(), ["page_id", "node_id"], "left_semi")
 
 
@@ -157,6 +163,7 @@ def end_children(nodes: DataFrame) -> DataFrame:
 
 
 def siblings(nodes: DataFrame, of: DataFrame) -> DataFrame:
-    """(page_id, of_id and the sibling's row): all nodes of one parent but the node itself."""
-    own = of.select("page_id", "parent_id", F.col("node_id").alias("of_id"))
-    return own.join(nodes, ["page_id", "parent_id"]).where("node_id <> of_id")
+    """The nodes, of any kind, that have one of the rows `of` beside them under their parent, once each. A family of any size makes no pairs."""
+    marked = nodes.join(of.select("page_id", "node_id", F.lit(1).alias("_of")), ["page_id", "node_id"], "left")
+    others = F.count("_of").over(Window.partitionBy("page_id", "parent_id")) - F.when(F.col("_of").isNotNull(), 1).otherwise(0)
+    return marked.withColumn("_n", F.when(has_parent(), others)).where("_n > 0").select(*nodes.columns)

@@ -6,39 +6,43 @@ a chain of methods is one plan. Methods that give a DataFrame of scalars have a
 
 from __future__ import annotations
 
+import inspect
 from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from domspark.functions.nodes import texts_of
 from domspark.functions.text import fold
+from domspark.options import Options
 from domspark.plans.matching import attribute, has_attribute, matching
 from domspark.plans.selectors import SelectorList, classify_simple_selector, parse_selector
 
+_BEFORE, _AFTER = (Window.unboundedPreceding, -1), (1, Window.unboundedFollowing)
 
 
 def _page():
     return Window.partitionBy("page_id")
 
 
-def compiled(selector: str | SelectorList, on_error: str) -> SelectorList:
-    return selector if isinstance(selector, SelectorList) else parse_selector(selector, on_error)
+def compiled(selector: str | SelectorList, on_error: str, cache_size: int = Options.max_css3_cache_size) -> SelectorList:
+    return selector if isinstance(selector, SelectorList) else parse_selector(selector, on_error, cache_size=cache_size)
 
 
 class NodeSet:
-    """rows: the node table's columns and pos. nodes: the node table. texts: (page_id, page_text), needed by the methods on texts."""
+    """rows: the node table's columns and pos. nodes: the node table."""
 
-    def __init__(self, rows: DataFrame, nodes: DataFrame, texts: DataFrame | None = None, on_error: str = "raise", filtered: bool = False):
-        self._rows, self.nodes, self.texts, self.on_error, self._filtered = rows, nodes, texts, on_error, filtered
+    def __init__(self, rows: DataFrame, nodes: DataFrame, on_error: str = "raise", filtered: bool = False):
+        self._rows, self.nodes, self.on_error, self._filtered = rows, nodes, on_error, filtered
 
     # ---- making ----
 
     @classmethod
-    def document(cls, nodes: DataFrame, texts: DataFrame | None = None, on_error: str = "raise") -> Document:
-        return Document(nodes, texts, on_error)
+    def document(cls, nodes: DataFrame, on_error: str = "raise") -> Document:
+        return Document(nodes, on_error)
 
     def _with(self, rows: DataFrame, filtered: bool = False) -> NodeSet:
-        return NodeSet(rows, self.nodes, self.texts, self.on_error, filtered)
+        return NodeSet(rows, self.nodes, self.on_error, filtered)
 
     def _kept(self, condition: Column) -> NodeSet:
         """A filter keeps the order; places are counted again only when a method needs them."""
@@ -78,8 +82,7 @@ class NodeSet:
         return self.size().select("page_id", (F.col("size") == 0).alias("empty"))
 
     def _pages(self) -> DataFrame:
-        pages = self.texts if self.texts is not None else self.nodes
-        return pages.select("page_id").distinct()
+        return self.nodes.where(F.col("node_type") == "document").select("page_id")
 
     def at(self, i: int) -> NodeSet:
         return self._with(self.rows.where(F.col("pos") == i), True)
@@ -227,41 +230,71 @@ class NodeSet:
     def prev_sibling(self) -> NodeSet:
         return self._step("prev_elem_id")
 
-    def _family(self, fits: Callable[[Column, Column], Column], order: Callable[[Column], Column]) -> NodeSet:
-        own = self.rows.select("page_id", "parent_id", "pos", F.col("node_id").alias("own"))
-        family = self._elements().select("page_id", "parent_id", "node_id")
-        pairs = own.join(family, ["page_id", "parent_id"]).where(fits(F.col("node_id"), F.col("own")))
-        return self._reached(pairs.select("page_id", "node_id", F.struct("pos", order(F.col("node_id")).alias("k")).alias("o")))
+    def _family(self, *sides: tuple[int, int], descending: bool = False) -> NodeSet:
+        """Elements that have one of the set on one of the sides (rows before or after) within their parent, by the first such place.
+
+        Windows see each element once, so a family of any size costs no pairs.
+        """
+        own = self.rows.select("page_id", "node_id", F.col("pos").alias("_pos"))
+        beside = Window.partitionBy("page_id", "parent_id").orderBy("node_id")
+        rows = self._elements().join(own, ["page_id", "node_id"], "left")
+        near = [F.min("_pos").over(beside.rowsBetween(*side)) for side in sides]
+        rows = rows.withColumn("_o", F.least(*near) if len(near) > 1 else near[0]).where(F.col("_o").isNotNull())
+        order = F.col("node_id").desc() if descending else F.col("node_id").asc()
+        return self._with(self._ranked(rows, "_o", order).select(*self.nodes.columns, "pos"))
 
     def next_siblings(self) -> NodeSet:
-        return self._family(lambda n, own: n > own, lambda n: n)
+        return self._family(_BEFORE)
 
     def prev_siblings(self) -> NodeSet:
         """Nearest first."""
-        return self._family(lambda n, own: n < own, lambda n: -n)
+        return self._family(_AFTER, descending=True)
 
     def siblings(self) -> NodeSet:
-        return self._family(lambda n, own: n != own, lambda n: n)
+        return self._family(_BEFORE, _AFTER)
+
+    def _below(self, hits: DataFrame, first: bool = False) -> NodeSet:
+        """The nodes of hits (page_id, node_id) below each element, set element by set element, each once; of each element the first one only, if so asked."""
+        found = self.nodes.join(hits, ["page_id", "node_id"], "left_semi").select("page_id", "node_id", F.explode("ancestors").alias("above"))
+        own = self.keys.select("page_id", "pos", F.col("node_id").alias("above"))
+        found = found.join(own, ["page_id", "above"])
+        if first:
+            found = found.groupBy("page_id", "pos").agg(F.min("node_id").alias("node_id"))
+        return self._reached(found.select("page_id", "node_id", F.struct("pos").alias("o")))
+
+    def get_element_by_id(self, name: str) -> NodeSet:
+        """For each element the first one below it with the id."""
+        return self._below(self.nodes.where((F.col("id_attr") == name) & F.lit(name != "")).select("page_id", "node_id"), first=True)
+
+    def get_elements_by_tag_name(self, tag: str) -> NodeSet:
+        return self._below(self.nodes.where(F.col("tag_lc") == fold(tag)).select("page_id", "node_id"))
+
+    def get_elements_by_class_name(self, name: str) -> NodeSet:
+        return self._below(self.nodes.where(F.array_contains("classes", name)).select("page_id", "node_id"))
+
+    def css_first(self, selector: str | SelectorList) -> NodeSet:
+        """For each element the first match below it."""
+        hits = self._matches(selector)
+        return self._kept(F.lit(False)) if hits is None else self._below(hits, first=True)
+
+    query_selector = css_first
 
     def css(self, selector: str | SelectorList) -> NodeSet:
         """The matching elements below each element, set element by set element, each once."""
         hits = self._matches(selector)
         if hits is None:
             return self._kept(F.lit(False))
-        found = self.nodes.join(hits, ["page_id", "node_id"], "left_semi").select("page_id", "node_id", F.explode("ancestors").alias("above"))
-        own = self.keys.select("page_id", "pos", F.col("node_id").alias("above"))
-        return self._reached(found.join(own, ["page_id", "above"]).select("page_id", "node_id", F.struct("pos").alias("o")))
+        return self._below(hits)
 
+    query_selector_all = css
     find = css
 
     # ---- extraction ----
 
     def with_text(self, name: str = "text_content") -> NodeSet:
         """Adds the whole text of each element: all text below it, in document order."""
-        if self.texts is None:
-            raise ValueError("this NodeSet was made without page texts")
         kept = [c for c in self._rows.columns if c != name]
-        rows = self._rows.join(self.texts.select("page_id", "page_text"), "page_id", "left")
+        rows = self._rows.join(texts_of(self.nodes), "page_id", "left")
         text = F.coalesce(F.substring(F.col("page_text"), F.col("text_start") + 1, F.col("text_len")), F.lit(""))
         return self._with(rows.select(*kept, text.alias(name)), self._filtered)
 
@@ -287,26 +320,28 @@ class NodeSet:
         rows = self.rows
         return rows.select("page_id", "pos", fn(rows).alias(name))
 
-    def each(self, fn: Callable) -> NodeSet:
-        """Calls fn(pos, row) for each element on the executors, for its side effects."""
+    def each(self, fn: Callable, in_order: bool = False) -> NodeSet:
+        """Calls fn(row), or fn(pos, row) if it takes two arguments, for each element, for its side effects: on the executors, or, in_order, on the
+        driver by page and place, which fetches the rows partition by partition."""
+        two = len(inspect.signature(fn).parameters) > 1
 
         def visit(rows) -> None:
             for row in rows:
-                fn(row["pos"], row)
+                fn(row["pos"], row) if two else fn(row)
 
-        self.rows.foreachPartition(visit)
+        visit(iter(self)) if in_order else self.rows.foreachPartition(visit)
         return self
 
 
 class Document:
     """All pages of a node table; selections start here."""
 
-    def __init__(self, nodes: DataFrame, texts: DataFrame | None = None, on_error: str = "raise"):
-        self.nodes, self.texts, self.on_error = nodes, texts, on_error
+    def __init__(self, nodes: DataFrame, on_error: str = "raise", options: Options = Options()):
+        self.nodes, self.on_error, self.options = nodes, on_error, options
 
     def _set(self, rows: DataFrame) -> NodeSet:
         ranked = rows.withColumn("pos", F.row_number().over(_page().orderBy("node_id")) - 1)
-        return NodeSet(ranked, self.nodes, self.texts, self.on_error)
+        return NodeSet(ranked, self.nodes, self.on_error)
 
     def all(self) -> NodeSet:
         return self._set(self.nodes.where(F.col("node_type") == "element"))
@@ -314,7 +349,7 @@ class Document:
     def css(self, selector: str | SelectorList) -> NodeSet:
         """All matching elements in document order. An id alone gives the first element that has it."""
         simple = classify_simple_selector(selector) if isinstance(selector, str) else None
-        found = compiled(selector, self.on_error)
+        found = compiled(selector, self.on_error, self.options.max_css3_cache_size)
         rows = matching(self.nodes, found) if found else self.nodes.where(F.lit(False))
         out = self._set(rows)
         return out.at(0) if simple and simple[0] == "id" else out

@@ -11,9 +11,9 @@ import pyarrow as pa
 
 from domspark.functions.text import HTML_SPACE, class_set, fold
 
-from .tree import COMMENT_NODE, ELEMENT, TEXT_NODE, Tree
+from .tree import COMMENT_NODE, DOCUMENT, ELEMENT, TEXT_NODE, Tree
 
-_KINDS = (ELEMENT, TEXT_NODE, COMMENT_NODE)
+_KINDS = (ELEMENT, TEXT_NODE, COMMENT_NODE, DOCUMENT)
 _CODE = {k: i for i, k in enumerate(_KINDS)}
 _ATTR = pa.struct([("name", pa.string()), ("value", pa.string()), ("has_value", pa.bool_())])
 
@@ -85,8 +85,28 @@ class NodeColumns:
         self.pages.append(page)
         self.sizes.append(size)
 
-    def columns(self) -> tuple[dict[str, pa.Array], np.ndarray, list[str]]:
-        """The columns besides page_id, the number of nodes of each page, and the pages' texts."""
+    def columns(self, in_order: bool = False) -> tuple[dict[str, pa.Array], np.ndarray]:
+        """All columns and the number of rows of each page. A page's document row, which holds its whole text, comes first if in_order is set, and else
+        after all nodes of the batch."""
+        nodes, sizes, texts = self._nodes()
+        pages, n = len(sizes), len(self.kinds)
+        whole = {
+            "node_id": np.zeros(pages, dtype=np.int32), "subtree_end": sizes.astype(np.int32), "depth": np.zeros(pages, dtype=np.int32), "text": texts, "text_start": np.zeros(pages, dtype=np.int32),
+            "ancestors": [[]] * pages, "node_type": [DOCUMENT] * pages, "text_len": np.array([len(t) for t in texts], dtype=np.int32),
+        }
+        order = None
+        if in_order:
+            order = pa.array(np.insert(np.arange(n), np.cumsum(sizes) - sizes, n + np.arange(pages)))
+        out = {}
+        for name, column in nodes.items():
+            both = pa.concat_arrays([column, pa.array(whole[name], column.type) if name in whole else pa.nulls(pages, column.type)])
+            out[name] = both if order is None else both.take(order)
+        page = np.concatenate([np.repeat(np.arange(pages), sizes), np.arange(pages)])
+        ids = pa.array(self.pages, pa.int64()).take(pa.array(page))
+        out["page_id"] = ids if order is None else ids.take(order)
+        return out, sizes + 1
+
+    def _nodes(self) -> tuple[dict[str, pa.Array], np.ndarray, list[str]]:
         n, sizes = len(self.kinds), np.array(self.sizes, dtype=np.int64)
         kind, up = np.array(self.kinds, dtype=np.int8), np.array(self.parents, dtype=np.int64)
         page_start = np.cumsum(sizes) - sizes
@@ -213,7 +233,7 @@ def node_rows(tree: Tree, root: int) -> tuple[list[tuple], str]:
     """The rows of one page, as tuples without page_id, and its text."""
     held = NodeColumns()
     held.add(0, tree, root)
-    columns, _, texts = held.columns()
+    columns, _, texts = held._nodes()
     values = [c.to_pylist() for c in columns.values()]
     at = list(columns).index("attrs")
     values[at] = [None if own is None else [tuple(a.values()) for a in own] for own in values[at]]

@@ -7,9 +7,10 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
-from functools import lru_cache
+from collections import OrderedDict
 
 from domspark.functions.text import HTML_SPACE, collapse_spaces, fold
+from domspark.options import Options
 
 from .errors import SelectorError
 
@@ -355,14 +356,21 @@ def split_arguments(text: str) -> list[str]:
     return [*out, text[start:]]
 
 
-@lru_cache(maxsize=1000)
-def _parsed(text: str) -> SelectorList:
-    return _Reader(text).list()
+_cache: OrderedDict[str, SelectorList] = OrderedDict()
 
 
-def parse_selector(text: str, on_error: str = "raise", cache: bool = True) -> SelectorList:
+def _parsed(text: str, size: int = Options.max_css3_cache_size) -> SelectorList:
+    """From the cache, which keeps the `size` selectors that were used last."""
+    found = _cache.pop(text, None) or _Reader(text).list()
+    _cache[text] = found
+    while len(_cache) > max(0, size):
+        _cache.popitem(last=False)
+    return found
+
+
+def parse_selector(text: str, on_error: str = "raise", cache: bool = True, cache_size: int = Options.max_css3_cache_size) -> SelectorList:
     """The selectors of a list. on_error is raise, or lenient: then what could be read counts, and errors are listed in the result."""
-    found = _parsed(text) if cache else _Reader(text).list()
+    found = _parsed(text, cache_size) if cache else _Reader(text).list()
     if found.errors and on_error == "raise":
         raise SelectorError("; ".join(found.errors))
     return found

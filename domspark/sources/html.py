@@ -3,20 +3,23 @@
 from __future__ import annotations
 
 import gc
+import re
+import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from domspark.functions.nodes import texts_of
 from domspark.functions.text import fold
 from domspark.options import Options
 from domspark.plans.columns import NodeColumns, attribute_lists, lists, node_rows
 from domspark.plans.errors import HtmlError
 from domspark.plans.scanner import CLOSE, DOCTYPE, FRAGMENT_TEXT, TEXT, Scanner
-from domspark.plans.tree import TEXT_NODE, Tree, parse
+from domspark.plans.tree import Tree, parse
 
 ATTRS = "array<struct<name: string, value: string, has_value: boolean>>"
 NODES = (
@@ -26,10 +29,9 @@ NODES = (
 )
 TOKENS = f"page_id long, token_seq int, type string, name string, value string, attrs {ATTRS}, public_id string, system_id string, force_quirks boolean"
 ERRORS = "page_id long, err_seq int, code string, message string, position int, line int, col int"
-TEXTS = "page_id long, page_text string"
 _NODE = NODES.removeprefix("page_id long, ").replace(" int", ": int").replace(" string", ": string").replace(" boolean", ": boolean").replace(" array", ": array").replace("::", ":")
 _ERROR = ERRORS.removeprefix("page_id long, ").replace(" int", ": int").replace(" string", ": string")
-WHOLE = f"page_id long, page_text string, nodes array<struct<{_NODE}>>, errors array<struct<{_ERROR}>>"
+WHOLE = f"page_id long, nodes array<struct<{_NODE}>>, errors array<struct<{_ERROR}>>"
 CHUNK = 20_000  # rows of an output batch
 PAGES = 64  # pages of an output batch whose rows are pages
 _EMPTY = Tree()
@@ -100,16 +102,15 @@ def _shaped(columns: dict[str, pa.Array], fields) -> list[pa.Array]:
     return [columns[f.name].cast(f.type) for f in fields]
 
 
-def _nodes(ddl: str, parsed: Callable, kept: tuple[str, ...] | None = None):
-    """A function for mapInArrow that puts out the node table, or some columns of it."""
+def _nodes(ddl: str, parsed: Callable):
+    """A function for mapInArrow that puts out the node table."""
     schema = _arrow(ddl)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [NodeColumns()]
 
         def give() -> pa.RecordBatch:
-            columns, sizes, _ = held[0].columns()
-            columns["page_id"] = pa.array(held[0].pages, pa.int64()).take(pa.array(np.repeat(np.arange(len(sizes)), sizes)))
+            columns, _ = held[0].columns()
             held[0] = NodeColumns()
             return pa.RecordBatch.from_arrays(_shaped(columns, schema), schema=schema)
 
@@ -119,7 +120,7 @@ def _nodes(ddl: str, parsed: Callable, kept: tuple[str, ...] | None = None):
 
 
 def _wholes(ddl: str, parsed: Callable):
-    """A function for mapInArrow that puts out a row for each page: its text, its nodes and its errors."""
+    """A function for mapInArrow that puts out a row for each page: its nodes and its errors."""
     schema = _arrow(ddl)
     nodes, errors = schema.field("nodes").type.value_type, schema.field("errors").type.value_type
 
@@ -132,9 +133,9 @@ def _wholes(ddl: str, parsed: Callable):
             held[1].append([dict(zip([f.name for f in errors], (i, *e), strict=True)) for i, e in enumerate(found)])
 
         def give() -> pa.RecordBatch:
-            columns, sizes, texts = held[0].columns()
+            columns, sizes = held[0].columns(in_order=True)
             rows = pa.StructArray.from_arrays(_shaped(columns, list(nodes)), fields=list(nodes))
-            made = {"page_id": pa.array(held[0].pages, pa.int64()), "page_text": pa.array(texts, pa.string()), "nodes": lists(sizes, rows), "errors": pa.array(held[1], pa.list_(errors))}
+            made = {"page_id": pa.array(held[0].pages, pa.int64()), "nodes": lists(sizes, rows), "errors": pa.array(held[1], pa.list_(errors))}
             held[:] = [NodeColumns(), []]
             return pa.RecordBatch.from_arrays(_shaped(made, schema), schema=schema)
 
@@ -166,23 +167,12 @@ def _parser(options: Options, fail: bool) -> Callable:
 def parse_html(pages: DataFrame, options: Options = Options(), page_id: str = "page_id", html: str = "html", context: str | None = None, fail: bool = True) -> DataFrame:
     """The node table of whole documents, or, with `context` naming a column of context tags, of fragments.
 
-    A null html is an empty one. In strict mode the first error raises HtmlError; with fail=False such a page has no nodes, and
+    Each page has a document row (node 0), whose text is all text of the page, and a row for each node below it. A null html is an empty one. In strict mode the first error raises HtmlError; with fail=False such a page has only its document row, and
     its error is in parse_errors().
     """
     return _over(pages, NODES, _nodes(NODES, _parser(options, fail)), page_id, html, context)
 
 
-def page_texts(pages: DataFrame, options: Options = Options(), page_id: str = "page_id", html: str = "html", context: str | None = None, fail: bool = True) -> DataFrame:
-    """(page_id, page_text): the text of each page, which text_start and text_len of the node table point into."""
-    parsed = _parser(options, fail)
-
-    def text(html: str, context) -> list[tuple]:
-        tree, root, _ = parsed(html, context)
-        return [("".join(tree.text[i] for i in tree.order(root) if tree.kind[i] == TEXT_NODE),)]
-
-    return _over(pages, TEXTS, _tuples(TEXTS, text), page_id, html, context)
-
-
 def parse_errors(pages: DataFrame, options: Options = Options(), page_id: str = "page_id", html: str = "html", context: str | None = None) -> DataFrame:
     """The error table: the scanner's errors of a page come before those of its tree."""
     parsed = _parser(options, False)
@@ -190,7 +180,7 @@ def parse_errors(pages: DataFrame, options: Options = Options(), page_id: str =
 
 
 def parse_whole(pages: DataFrame, options: Options = Options(), page_id: str = "page_id", html: str = "html", context: str | None = None, fail: bool = True) -> DataFrame:
-    """(page_id, page_text, nodes, errors): a row for each page with all that its parse gives."""
+    """(page_id, nodes, errors): a row for each page with all that its parse gives."""
     return _over(pages, WHOLE, _wholes(WHOLE, _parser(options, fail)), page_id, html, context)
 
 
@@ -210,37 +200,60 @@ def tokenize_html(pages: DataFrame, options: Options = Options(), page_id: str =
     return _over(pages, TOKENS, _tuples(TOKENS, lambda h, c: token_rows(h, options, c, state)), page_id, html, context)
 
 
+def work_dir(spark) -> str:
+    """The shared folder that spark.checkpoint.dir names. A temporary one is set only in local mode, where there is but one machine."""
+    where = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not where:
+        master = spark.sparkContext.master or ""
+        if not re.fullmatch(r"local(\[.*\])?", master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        where = tempfile.mkdtemp(prefix="domspark-")
+        spark.conf.set("spark.checkpoint.dir", where)
+    return where.rstrip("/")
+
+
 class Parsed:
-    """The tables of parsed pages. They are lazy; save() parses once and writes them, so that many queries share the parse."""
+    """The tables of parsed pages. They are lazy, so each use of `nodes` parses again; staged() and save() parse once and write, so that
+    a query that reads the nodes several times, or many queries, share the parse."""
+
+    def __init__(self, nodes: DataFrame, errors: DataFrame, pages: DataFrame, whole: DataFrame | None = None):
+        self.nodes, self.errors, self.pages, self._whole = nodes, errors, pages, whole
 
-    def __init__(self, nodes: DataFrame, texts: DataFrame, errors: DataFrame, pages: DataFrame, whole: DataFrame | None = None):
-        self.nodes, self.texts, self.errors, self.pages, self._whole = nodes, texts, errors, pages, whole
+    @property
+    def texts(self) -> DataFrame:
+        return texts_of(self.nodes)
 
     @classmethod
     def of(cls, pages: DataFrame, options: Options = Options(), page_id: str = "page_id", html: str = "html", context: str | None = None, fail: bool = True) -> Parsed:
         own = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(html).alias("html"))
         given = (options, page_id, html, context)
-        return cls(parse_html(pages, *given, fail), page_texts(pages, *given, fail), parse_errors(pages, *given), own, parse_whole(pages, *given, fail))
+        return cls(parse_html(pages, *given, fail), parse_errors(pages, *given), own, parse_whole(pages, *given, fail))
+
+    def staged(self) -> Parsed:
+        """The same with the node table written once to the shared work folder."""
+        spark = self.nodes.sparkSession
+        path = f"{work_dir(spark)}/nodes-{uuid.uuid4().hex}"
+        self.nodes.write.parquet(path)
+        return Parsed(spark.read.schema(self.nodes.schema).parquet(path), self.errors, self.pages)
 
     def save(self, path: str) -> Parsed:
         """Writes the tables below path. Parsing costs more than writing, so its rows are staged in path/whole and split from there."""
         spark = self.nodes.sparkSession
-        tables = {"nodes": self.nodes, "texts": self.texts, "errors": self.errors, "pages": self.pages}
+        tables = {"nodes": self.nodes, "errors": self.errors, "pages": self.pages}
         if self._whole is not None:
             self._whole.write.mode("overwrite").parquet(f"{path}/whole")
             whole = spark.read.parquet(f"{path}/whole")
-            tables |= {"nodes": whole.select("page_id", F.inline("nodes")), "texts": whole.select("page_id", "page_text"), "errors": whole.select("page_id", F.inline("errors"))}
+            tables |= {"nodes": whole.select("page_id", F.inline("nodes")), "errors": whole.select("page_id", F.inline("errors"))}
         for name, table in tables.items():
             table.write.mode("overwrite").parquet(f"{path}/{name}")
         return Parsed.load(spark, path)
 
     @classmethod
     def load(cls, spark, path: str) -> Parsed:
-        return cls(*(spark.read.parquet(f"{path}/{n}") for n in ("nodes", "texts", "errors", "pages")))
+        return cls(*(spark.read.parquet(f"{path}/{n}") for n in ("nodes", "errors", "pages")))
 
     def persist(self) -> Parsed:
-        for df in (self.nodes, self.texts):
-            df.persist()
+        self.nodes.persist()
         return self
 
 

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from domspark.functions import encoding as E
 from domspark.functions import text as X
 from domspark.options import Options
-from domspark.sources.files import read_html_files, write_nodes
+from domspark.plans.errors import FileReadError
+from domspark.sources.files import parse_file, read_html_files, write_nodes
 from domspark.sources.html import Parsed, parse_html, register_parse_html, tokenize_html, version
 from domspark.streaming import pages as S
 
@@ -89,7 +90,7 @@ def test_files(spark, tmp_path):
 def test_saved_tables_and_table_function(spark, tmp_path):
     pages = spark.createDataFrame([(1, "<p>a<b>b")], "page_id long, html string")
     p = Parsed.of(pages).save(str(tmp_path / "p"))
-    assert p.nodes.count() == 7 and p.texts.first().page_text == "ab"
+    assert p.nodes.count() == 8 and p.texts.first().page_text == "ab"
     write_nodes(p.nodes, str(tmp_path / "n"), 2)
     assert spark.read.parquet(str(tmp_path / "n")).count() == 7
     register_parse_html(spark)
@@ -137,3 +138,38 @@ def test_positions_agree_with_window_functions(spark):
         "a <> elem_pos OR b <> type_pos OR NOT (p <=> prev_elem_id) OR NOT (q <=> next_elem_id) OR elem_pos + elem_rpos <> elem_cnt + 1 OR type_pos + type_rpos <> type_cnt + 1"
     )
     assert bad.count() == 0
+
+
+def test_missing_files(spark, tmp_path):
+    with pytest.raises(FileReadError):
+        parse_file(spark, str(tmp_path / "none.html"))
+    row = parse_file(spark, str(tmp_path / "none.html"), fail=False).first()
+    assert (row.html, row.error) == ("", "FileReadError")
+
+
+def test_the_cache_of_selectors_has_a_size():
+    from domspark.plans import selectors
+
+    for i in range(5):
+        selectors.parse_selector(f".k{i}", cache_size=3)
+    assert list(selectors._cache) == [".k2", ".k3", ".k4"]
+    selectors.parse_selector(".k2", cache_size=3)
+    selectors.parse_selector(".k5", cache_size=3)
+    assert list(selectors._cache) == [".k4", ".k2", ".k5"]
+    assert str(selectors.parse_selector(".k9", cache_size=0)) == ".k9" and not selectors._cache
+
+
+def test_the_cycle_collector_is_as_it_was_between_batches():
+    import gc
+
+    from domspark.sources.html import _batches
+
+    states = []
+    for on in (True, False):
+        (gc.enable if on else gc.disable)()
+        try:
+            for _ in _batches(iter([]), 1, lambda *a: None, lambda: 0, lambda: states.append(gc.isenabled())):
+                pass
+            assert gc.isenabled() == on
+        finally:
+            gc.enable()

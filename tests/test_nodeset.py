@@ -22,7 +22,7 @@ META = '<html lang=en><head><title>A &amp; B</title><meta charset="utf-8"><meta
 @pytest.fixture(scope="module")
 def doc(spark):
     parsed = Parsed.of(spark.createDataFrame(PAGES, "page_id long, html string")).persist()
-    return Document(parsed.nodes, parsed.texts)
+    return Document(parsed.nodes)
 
 
 def listed(found: NodeSet, what="text"):
@@ -174,7 +174,7 @@ def test_fragments_errors_and_strict_pages(spark):
     assert [(r.page_id, r.tag) for r in p.nodes.where("tag is not null").collect()] == [(1, "td")]
     assert [(r.page_id, r.code) for r in p.errors.collect()] == [(2, "MismatchedTag")]
     strict = Parsed.of(pages, Options.strict(), context="ctx", fail=False)
-    assert {r.page_id for r in strict.nodes.collect()} == {1}
+    assert {r.page_id for r in strict.nodes.where("node_id > 0").collect()} == {1} and strict.texts.count() == 3
     with pytest.raises(Exception, match="MismatchedTag"):
         Parsed.of(pages, Options.strict(), context="ctx").nodes.collect()
 
@@ -189,3 +189,25 @@ def test_node_accessors(doc):
     assert N.siblings(rows, rows.where(N.is_comment())).count() == 6
     assert N.children(rows, rows.where("tag = 'div'")).count() == 7 and N.parents(rows, rows.where("tag = 'i'")).first().tag == "div"
     assert N.end_children(rows).count() > 3
+
+
+def test_lookups_below_elements(doc):
+    for tag in ("li", "p"):
+        below = doc.css("body").get_elements_by_tag_name(tag)
+        assert [tuple(r) for r in below.keys.collect()] == [tuple(r) for r in doc.css(f"body {tag}").keys.collect()]
+
+
+def test_each_in_order_and_on_executors(doc):
+    seen = []
+    doc.css("*").each(lambda pos, row: seen.append((row["page_id"], pos)), in_order=True)
+    assert seen == sorted(seen) and seen
+    one = []
+    doc.css("*").each(lambda row: one.append(row["node_id"]), in_order=True)
+    assert len(one) == len(seen)
+
+
+def test_sibling_plans_make_no_pairs(doc):
+    for s in (doc.css("li").siblings(), doc.css("li").next_siblings(), doc.css("li").prev_siblings()):
+        plan = s.rows._jdf.queryExecution().optimizedPlan().toString()
+        joins = [line for line in plan.splitlines() if "Join" in line]
+        assert joins and not any("parent_id" in line for line in joins)
