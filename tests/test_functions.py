@@ -92,7 +92,7 @@ def test_saved_tables_and_table_function(spark, tmp_path):
     p = Parsed.of(pages).save(str(tmp_path / "p"))
     assert p.nodes.count() == 8 and p.texts.first().page_text == "ab"
     write_nodes(p.nodes, str(tmp_path / "n"), 2)
-    assert spark.read.parquet(str(tmp_path / "n")).count() == 7
+    assert spark.read.parquet(str(tmp_path / "n")).count() == 8
     register_parse_html(spark)
     assert [r.tag for r in spark.sql("SELECT tag FROM parse_html('<p>x') WHERE tag IS NOT NULL ORDER BY node_id").collect()] == ["html", "head", "body", "p"]
     assert version()
