@@ -94,9 +94,12 @@ def reply_paths(messages: DataFrame, branches: int = 1) -> DataFrame:
     m = messages.select("conv_id", "msg_id", "parent_id", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score"))
     m = m.where("conv_id IS NOT NULL AND msg_id IS NOT NULL")
     m = m.groupBy("conv_id", "msg_id").agg(F.min(F.struct("parent_id", "role", "text", "score")).alias("m")).select("conv_id", "msg_id", "m.*")
-    there = m.select("conv_id", F.col("msg_id").alias("parent_id"), F.lit(True).alias("there"))
-    m = m.join(there, ["conv_id", "parent_id"], "left").withColumn("parent_id", F.when(F.col("there"), F.col("parent_id"))).drop("there")
-    m = written(m.select("conv_id", "msg_id", "parent_id", "role", "text", "score"), "chat-messages")
+    said = written(m, "chat-messages")
+    # From here on only numbers move; role and text meet the chosen paths once, at the end.
+    ids = said.select("conv_id", "msg_id", "parent_id", "score")
+    there = ids.select("conv_id", F.col("msg_id").alias("parent_id"), F.lit(True).alias("there"))
+    m = ids.join(there, ["conv_id", "parent_id"], "left").withColumn("parent_id", F.when(F.col("there"), F.col("parent_id"))).select("conv_id", "msg_id", "parent_id", "score")
+    m = written(m, "chat-tree")
     # up: the ancestor 2**k steps up; top: the last message reached, in the end the root; total, depth: score and number of the messages passed, itself included.
     # Messages that have reached their root stay as they are, so long conversations alone have rows to move in many rounds.
     live = m.select("conv_id", "msg_id", F.col("parent_id").alias("up"), F.col("score").alias("total"), F.lit(1).cast("long").alias("depth"), F.coalesce("parent_id", "msg_id").alias("top"))
@@ -121,7 +124,7 @@ def reply_paths(messages: DataFrame, branches: int = 1) -> DataFrame:
         upper = levels[k].where("up IS NOT NULL").select("conv_id", "msg_id", "up")
         more = path.join(upper, ["conv_id", "msg_id"]).select("conv_id", "branch", "path_score", F.col("up").alias("msg_id"), (F.col("step") - F.lit(1 << k)).alias("step"))
         path = written(path.union(more), "chat-path")
-    return path.join(m.select("conv_id", "msg_id", "role", "text"), ["conv_id", "msg_id"]).select("conv_id", "branch", "path_score", "step", "role", "text")
+    return path.join(said.select("conv_id", "msg_id", "role", "text"), ["conv_id", "msg_id"]).select("conv_id", "branch", "path_score", "step", "role", "text")
 
 
 def _format(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

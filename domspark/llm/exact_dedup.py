@@ -9,14 +9,15 @@ and group among themselves. Every group of more than one row is then checked byt
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._shared import mixed, written
+from ._shared import HOT_SHARE, joined_hot, mixed, work_dir, written
 
 BUCKET_KEYS = 512  # keys that a bucket's filter is meant to hold
 
@@ -110,9 +111,9 @@ def digested(docs: DataFrame) -> DataFrame:
 
 
 def distinct_digests(rows: DataFrame) -> DataFrame:
-    """A row for each digest, with the number of its rows and its 64-bit key."""
+    """A row for each digest, with the number of its rows, their largest doc_id and its 64-bit key."""
     key = F.conv(F.substring("text_sha256", 1, 15), 16, 10).cast("long")
-    return rows.groupBy("text_sha256").agg(F.count(F.lit(1)).alias("n")).withColumn("key", key)
+    return rows.groupBy("text_sha256").agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").cast("long").alias("keep_id")).withColumn("key", key)
 
 
 def bucketed(digests: DataFrame, buckets: int) -> DataFrame:
@@ -130,24 +131,75 @@ def screened(incoming: DataFrame, filters: DataFrame, buckets: int) -> DataFrame
     return left.cogroup(filters.groupBy("bucket")).applyInPandas(_screen, "text_sha256 string, seen boolean")
 
 
-def exact_groups(snapshot: DataFrame, batch: DataFrame) -> DataFrame:
-    """Groups of more than one equal text among the rows of both frames (doc_id, text): text_sha256, keep_id, group_size.
+class Snapshot:
+    """An immutable set of texts by their digests, below a path: `digests` (text_sha256, n, keep_id, key, bucket) and `filters` (bucket, filter).
 
-    Of equal texts the largest doc_id stays. Rows with a null doc_id count in group_size and are kept only by no one else.
+    It is built once and read as often as batches come in.
     """
-    old = written(distinct_digests(digested(snapshot)), "exact-snapshot")
-    new = written(distinct_digests(digested(batch)), "exact-batch")
-    buckets = max(1, -(-old.count() // BUCKET_KEYS))
-    filters = written(snapshot_filters(old, buckets), "exact-filters")
-    positive = screened(new, filters, buckets).where("seen").select("text_sha256")
-    both = old.join(positive, "text_sha256").select("text_sha256")  # the exact bucket: the whole digest
+
+    def __init__(self, digests: DataFrame, filters: DataFrame, buckets: int):
+        self.digests, self.filters, self.buckets = digests, filters, buckets
+
+    @classmethod
+    def build(cls, docs: DataFrame, path: str) -> Snapshot:
+        """Writes the snapshot of docs (doc_id, text). The path must be in a folder that all executors share, and must not be there yet."""
+        spark = docs.sparkSession
+        distinct_digests(digested(docs)).write.parquet(f"{path}/digests")
+        held = spark.read.parquet(f"{path}/digests")
+        buckets = max(1, -(-held.count() // BUCKET_KEYS))
+        snapshot_filters(held, buckets).write.parquet(f"{path}/filters")
+        spark.createDataFrame([(buckets,)], "buckets int").coalesce(1).write.parquet(f"{path}/buckets")
+        return cls.open(spark, path)
+
+    @classmethod
+    def open(cls, spark: SparkSession, path: str) -> Snapshot:
+        buckets = spark.read.schema("buckets int").parquet(f"{path}/buckets").first().buckets
+        digests = spark.read.schema("text_sha256 string, n long, keep_id long, key long").parquet(f"{path}/digests")
+        return cls(digests, spark.read.schema("bucket int, filter binary").parquet(f"{path}/filters"), buckets)
+
+
+def known(snapshot: Snapshot, new: DataFrame) -> DataFrame:
+    """(text_sha256) of the distinct digests `new` that the snapshot holds: those that pass their bucket's filter and are in the exact bucket."""
+    positive = screened(new, snapshot.filters, snapshot.buckets).where("seen").select("text_sha256")
+    return snapshot.digests.select("text_sha256").join(positive, "text_sha256", "left_semi")
+
+
+def exact_groups(docs: DataFrame, part: Column) -> tuple[DataFrame, int]:
+    """Groups of more than one equal text among the rows of docs (doc_id, text), and the number of rows: text_sha256, keep_id, group_size.
+
+    The rows of `part` are the snapshot, the others the incoming batch. Of equal texts the largest doc_id stays. Rows with a null doc_id count in
+    group_size and are kept only by no one else. Texts are only moved where their digest is repeated: those of hot digests are summed up, byte for
+    byte, within each task before anything is shuffled, the others meet by digest and are then summed up in place.
+    """
+    spark = docs.sparkSession
+    snapshot = Snapshot.build(docs.where(part), f"{work_dir(spark)}/exact-snapshot-{uuid.uuid4().hex}")
+    new = written(distinct_digests(digested(docs.where(~part))), "exact-batch")
+    both = known(snapshot, new)
+    old = snapshot.digests
+    counts = old.select("text_sha256", "n").union(new.select("text_sha256", "n"))
+    total = counts.agg(F.sum("n")).first()[0] or 0
     repeated = both.union(old.where("n > 1").select("text_sha256")).union(new.where("n > 1").select("text_sha256")).distinct()
-    rows = snapshot.select("doc_id", "text").union(batch.select("doc_id", "text"))
-    rows = rows.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    rows = rows.withColumn("text_sha256", F.sha2("text", 256)).join(repeated.hint("shuffle_hash"), "text_sha256", "left_semi")
-    # Grouping by the text itself is the byte check; copies are summed up before they are shuffled.
-    groups = rows.groupBy("text").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-    return groups.where("group_size > 1").select(F.sha2("text", 256).alias("text_sha256"), "keep_id", "group_size")
+    least = max(2, -(-total // HOT_SHARE))
+    hot = counts.where(F.col("n") * 2 >= least).select("text_sha256").distinct()  # by halves, as a digest may be in both parts
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("text_sha256", F.sha2("text", 256))
+    summed = lambda df: df.groupBy("text_sha256", "text").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+    often = summed(rows.join(F.broadcast(hot), "text_sha256", "left_semi"))
+    seldom = summed(rows.join(F.broadcast(hot), "text_sha256", "left_anti").join(repeated.hint("shuffle_hash"), "text_sha256", "left_semi"))
+    return often.union(seldom).where("group_size > 1").select("text_sha256", "keep_id", "group_size"), total
+
+
+def new_texts(batch: DataFrame, snapshot: Snapshot) -> DataFrame:
+    """The rows of batch (doc_id, text and any others) whose text neither the snapshot nor another row of the batch with a larger doc_id has.
+
+    Of rows that repeat a doc_id and a text one stays; a row without a doc_id stays only where no other has its text. The snapshot holds no texts, so
+    here equality with it is that of SHA-256 digests.
+    """
+    rows = batch.withColumn("_sha", F.sha2(F.coalesce("text", F.lit("")), 256))
+    new = written(distinct_digests(batch.select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))), "exact-batch")
+    old = known(snapshot, new).select(F.col("text_sha256").alias("_sha"))
+    first = Window.partitionBy("_sha").orderBy(F.col("doc_id").desc_nulls_last(), F.xxhash64(*batch.columns))
+    left = rows.join(old.hint("shuffle_hash"), "_sha", "left_anti")
+    return left.withColumn("_n", F.row_number().over(first)).where("_n = 1").select(*batch.columns)
 
 
 def exact_dedup(docs: DataFrame, in_snapshot=None) -> DataFrame:
@@ -162,8 +214,8 @@ def exact_dedup(docs: DataFrame, in_snapshot=None) -> DataFrame:
     """
     docs = docs.select("doc_id", "text")
     part = F.coalesce(F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 0, F.lit(True)) if in_snapshot is None else F.coalesce(in_snapshot, F.lit(False))
-    groups = exact_groups(docs.where(part), docs.where(~part))
-    rows = digested(docs).join(groups, "text_sha256", "left")
+    groups, total = exact_groups(docs, part)
+    rows = joined_hot(digested(docs), written(groups, "exact-groups"), "text_sha256", "group_size", total)
     return rows.select(
         "doc_id",
         F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"),

@@ -17,6 +17,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ._shared import joined_hot, written
+
 BASE, MODULUS = 1_000_003, 2_147_483_647
 
 
@@ -43,7 +45,7 @@ def chunked(docs: DataFrame, divisor: int) -> DataFrame:
 
 
 def chunk_key(text: Column) -> Column:
-    return F.md5(text)
+    return F.sha2(text, 256)
 
 
 def repeated_chunks(chunks: DataFrame) -> DataFrame:
@@ -63,7 +65,7 @@ def line_dedup(docs: DataFrame, divisor: int = 3) -> DataFrame:
     """
     chunks = chunked(docs, divisor)
     repeated = repeated_chunks(chunks)
-    places = chunks.where("doc_id IS NOT NULL").select("doc_id", "digest", F.posexplode(F.transform(F.arrays_zip("chunks", "sizes"), lambda c: F.struct(F.md5(c.chunks).alias("chunk"), F.length(c.chunks).alias("chars"), c.sizes.alias("size")))).alias("place", "c"))
+    places = chunks.where("doc_id IS NOT NULL").select("doc_id", "digest", F.posexplode(F.transform(F.arrays_zip("chunks", "sizes"), lambda c: F.struct(chunk_key(c.chunks).alias("chunk"), F.length(c.chunks).alias("chars"), c.sizes.alias("size")))).alias("place", "c"))
     places = places.where("c.size > 1").select("doc_id", "digest", "place", "c.*")
     found = places.join(repeated, ["chunk", "chars"]).groupBy("doc_id", "digest", "chunk", "chars", "keep_doc", "size").agg(F.sort_array(F.collect_set("place")).alias("at"))
     gone = F.when(F.col("doc_id") == F.col("keep_doc"), F.slice("at", F.lit(2), F.size("at"))).otherwise(F.col("at"))
@@ -83,9 +85,11 @@ def repeated_pairs(docs: DataFrame) -> DataFrame:
     n = F.size("lines") - 1
     both = F.zip_with(F.slice("lines", F.lit(1), n), F.slice("lines", F.lit(2), n), lambda a, b: F.unhex(F.sha2(F.concat(a, F.lit("\n"), b), 256)))
     pairs = docs.where("doc_id IS NOT NULL").select("doc_id", "digest", F.posexplode(both).alias("place", "pair"))
-    found = pairs.groupBy("pair").agg(F.count(F.lit(1)).alias("times"), F.min(F.struct("doc_id", "digest", "place")).alias("first")).where("times > 1").select("pair", "first")
+    found = pairs.groupBy("pair").agg(F.count(F.lit(1)).alias("times"), F.min(F.struct("doc_id", "digest", "place")).alias("first")).where("times > 1")
+    found = written(found, "line-pairs")
+    total = found.agg(F.sum("times")).first()[0] or 0
     later = (F.col("doc_id") != F.col("first.doc_id")) | (F.col("digest") != F.col("first.digest")) | (F.col("place") > F.col("first.place") + 1)
-    at = pairs.join(found, "pair").where(later).groupBy("doc_id", "digest").agg(F.collect_set("place").alias("at"))
+    at = joined_hot(pairs, found, "pair", "times", total, how="inner").where(later).groupBy("doc_id", "digest").agg(F.collect_set("place").alias("at"))
     return at.select("doc_id", "digest", F.array_union("at", F.transform("at", lambda i: i + 1)).alias("gone"))
 
 
