@@ -458,17 +458,44 @@ ITEMS = [(i, prose(500 + i, 12 + i) + ". " + prose(600 + i, 6) + ".") for i in r
 
 
 def leaks_by_hand(rows, items, size, percent):
+    """Every window as long as the passages of the operator, at every word."""
     out = set()
+    longest = max(len(decontaminate.plain_words((t or "").encode())) for _, t in items)
+    parts = [(item, [set(decontaminate.runs(decontaminate.plain_words(x.encode()), size)) for x in (t, *decontaminate.question_and_answer(t))]) for item, t in items if t]
     for doc, text in rows:
         words = decontaminate.plain_words((text or "").encode())
-        own = {tuple(words[i : i + n]) for n in {size, *(len(decontaminate.plain_words((t or "").encode())) for _, t in items)} if 0 < n <= size for i in range(len(words) - n + 1)}
-        for item, t in items:
-            needle = set(decontaminate.runs(decontaminate.plain_words((t or "").encode()), size))
-            if needle and 100 * len(needle & own) >= percent * len(needle):
-                out.add((doc, item))
+        for at in range(0, max(1, len(words) - longest), longest):
+            window = words[at : at + 2 * longest]
+            own = {tuple(window[i : i + n]) for n in range(1, size + 1) for i in range(len(window) - n + 1)}
+            out |= {(doc, item) for item, needles in parts if needles[0] and all(100 * len(x & own) >= percent * len(x) for x in needles)}
     return out
 
 
+def test_a_question_without_its_answer_is_no_leak(spark):
+    asked, told = prose(1, 60) + "?", prose(2, 6) + "."
+    items = spark.createDataFrame([(1, f"{asked} {told}"), (2, prose(3, 25) + ".")], "item_id long, text string")
+    rows = [(1, asked), (2, f"{asked} {told}"), (3, told), (4, f"{prose(4, 9)} {asked} {prose(5, 9)}"), (5, prose(3, 25)), (6, f"{asked} {edited(told, 1, 4)}")]
+    find = lambda **k: {(r.doc_id, r.item_id) for r in decontaminate.leaks(docs(spark, rows), items, **k).collect()}
+    assert find() == {(2, 1), (5, 2)}
+    assert find(answer_percent=0) == {(1, 1), (2, 1), (4, 1), (5, 2), (6, 1)}
+
+
+def test_an_index_is_bounded_in_memory():
+    import tracemalloc
+
+    items, chars = [], 0
+    while chars < decontaminate.SHARD_CHARS // 8:  # words that no other item has: the largest vocabulary for a length
+        items.append((len(items), " ".join(f"{len(items):x}{k:x}z" for k in range(200))))
+        chars += len(items[-1][1])
+    df = Counter(w for _, t in items for w in decontaminate.plain_words(t.encode()))
+    tracemalloc.start()
+    index = decontaminate.Index(items, 5, 80, len(items), df, 200.0)
+    held = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert index.bounds.nbytes <= decontaminate.BOUNDS_BYTES + 4 * len(index.vocabulary)
+    assert held < 64_000_000 + 200 * chars and held * 8 < 1_000_000_000
+
+
 def test_leaks_are_what_a_loop_finds(spark):
     rows = [(i, prose(i, 300)) for i in range(30)]
     rows += [(100 + i, prose(i, i * 7) + " " + (ITEMS[i][1]).upper() + "! " + prose(i + 1, 150)) for i in range(30)]
@@ -502,7 +529,7 @@ def test_wand_retrieves_all_above_the_threshold():
         terms = sorted(set(r.sample(range(len(index.postings)), 12)))
         score = defaultdict(float)
         for t in terms:
-            for item, x in zip(*index.postings[t][:2]):
+            for item, x in zip(*index.postings[t][:2], strict=True):
                 score[item] += x
         for least in (0.3, 1.0):
             got = dict(index.retrieve(terms, least))
