@@ -1,8 +1,12 @@
 """Quality classifier: a linear-chain conditional random field over the lines of a document.
 
-Each line has features of its own and of the lines beside it, and is good or bad. The chain is trained on a bounded sample of
-labelled documents, whose lines all take the document's label. A document's score is the mean of its lines' forward-backward
-marginals of being good, weighted by the lines' lengths.
+Each line has features of its own and of the lines beside it, and is good or bad. The labels are the documents', those of the lines are hidden: training
+finds them together with the field (posterior regularization, Ganchev et al. 2010). In turns, the lines' posteriors under the present field are moved
+as little as it takes for each document to have at least MOST of its text on the side of its label, and the field is fitted to these posteriors. A good
+document may so have bad lines and a bad one good lines, and the transitions learn how one follows the other.
+
+A document's share of good text is the mean of its lines' forward-backward marginals, weighted by the lines' lengths; its score is a logistic function
+of that share, fitted to the labels.
 """
 
 from __future__ import annotations
@@ -18,8 +22,12 @@ from pyspark.sql import functions as F
 SAMPLE = 1000  # labelled documents of each label that the field is fitted on at most
 SEGMENT = 48  # lines of a training chain; a long document gives PER_DOC chains, spread over its whole length
 PER_DOC = 4
-ROUNDS = 150
-OWN = 14
+ROUNDS = 180
+WARM = 80  # rounds in which each line still has its document's label, and lines are independent
+REFRESH = 20  # rounds between two looks at the hidden labels
+MOST = 0.6  # of a document's text that is on the side of its label at least
+SHARPER = 3.0  # how much surer hidden labels are than the field that they come from
+OWN = 13
 FEATURES = 3 * OWN + 1
 _UPPER = bytes(range(65, 91))
 _LOWER = bytes(range(97, 123))
@@ -53,7 +61,6 @@ def own_features(line: bytes, before: set[bytes]) -> list[float]:
         (k - distinct) / np.sqrt(k + 1) / 5,
         float(line in before),
         float(line.rstrip()[-1:] in (b".", b"?")),
-        5 * line.count(b" | ") / (k + 1) + 5 * line.count(b"!! ") / (k + 1),
         0.0,
     ]
 
@@ -75,44 +82,62 @@ def with_neighbours(own: np.ndarray) -> np.ndarray:
     return np.hstack([own, np.vstack([none, own[:-1]]), np.vstack([own[1:], none]), np.ones((len(own), 1))])
 
 
+def _sigmoid(x):
+    return 1 / (1 + np.exp(-np.clip(x, -60, 60)))
+
+
 class LineField:
-    """Two states, 0 bad and 1 good: emission weights for the good state, and transition weights."""
+    """Two states, 0 bad and 1 good: emission weights for the good state, transition weights, and the logistic function from the share of good
+    text to the score."""
 
-    def __init__(self, weights: np.ndarray, transitions: np.ndarray, mean: np.ndarray, scale: np.ndarray):
-        self.weights, self.transitions, self.mean, self.scale = weights, transitions, mean, scale
+    def __init__(self, weights: np.ndarray, transitions: np.ndarray, mean: np.ndarray, scale: np.ndarray, slope: float = 1.0, middle: float = 0.5):
+        self.weights, self.transitions, self.mean, self.scale, self.slope, self.middle = weights, transitions, mean, scale, slope, middle
 
     @classmethod
-    def fit(cls, chains: list[tuple[np.ndarray, int]], rounds: int = ROUNDS, ridge: float = 0.02) -> LineField:
-        """Gradient ascent (Adam) on the log-likelihood of all chains at once; each chain counts as one, and the labels weigh the same."""
+    def fit(cls, chains: list[tuple[np.ndarray, int]], lengths: list[np.ndarray] | None = None, rounds: int = ROUNDS, ridge: float = 0.02) -> LineField:
+        """Gradient ascent (Adam) on all chains (features of their lines, document's label) at once; each chain counts as one, and the labels weigh the same."""
         every = np.vstack([x for x, _ in chains]) if chains else np.zeros((1, OWN))
         mean, scale = every.mean(axis=0), every.std(axis=0) + 1e-3
         field = cls(np.zeros(FEATURES), np.zeros((2, 2)), mean, scale)
         labels = {y for _, y in chains}
         if len(labels) < 2:
             field.weights[-1] = 0.0 if not labels else (4.0 if 1 in labels else -4.0)
+            field.slope = 4.0
             return field
         longest = max(len(x) for x, _ in chains)
         inputs = np.zeros((len(chains), longest, FEATURES))
-        there = np.zeros((len(chains), longest), dtype=bool)
+        part = np.zeros((len(chains), longest))  # of its chain's text that a line is
         gold = np.array([y for _, y in chains])
         for i, (x, _) in enumerate(chains):
             inputs[i, : len(x)] = with_neighbours((x - mean) / scale)
-            there[i, : len(x)] = True
+            own = np.ones(len(x)) if lengths is None else lengths[i]
+            part[i, : len(x)] = own / own.sum()
+        there = part > 0
         share = np.where(gold == 1, 0.5 / max(1, (gold == 1).sum()), 0.5 / max(1, (gold == 0).sum()))
         share = (share / there.sum(axis=1))[:, None]
+        both = there[:, 1:] & there[:, :-1]
+        hard = np.zeros((len(chains), longest - 1, 2, 2))
+        hard[np.arange(len(chains)), :, gold, gold] = 1.0
+        good_then, pairs_then = gold[:, None] * np.ones((1, longest)), hard
         theta, m, v = np.zeros(FEATURES + 4), 0.0, 0.0
+        held_back = np.full(FEATURES + 4, ridge / 10)
+        held_back[OWN : 3 * OWN] = ridge  # what a line says itself comes before what its neighbours say
         for step in range(1, rounds + 1):
             w, t = theta[:FEATURES], theta[FEATURES:].reshape(2, 2)
-            good, pairs = batch_marginals(inputs @ w, t, there)
-            slope_w = np.einsum("bt,btf->f", (gold[:, None] - good) * there * share, inputs)
-            seen = np.zeros_like(pairs)
-            both = there[:, 1:] & there[:, :-1]
-            seen[np.arange(len(chains)), :, gold, gold] = 1.0
-            slope_t = (((seen - pairs) * both[:, :, None, None]) * share[:, :, None, None]).sum(axis=(0, 1))
-            slope = np.concatenate([slope_w, slope_t.ravel()]) - ridge * theta / 10
+            emit = inputs @ w
+            if step > WARM and (step - WARM) % REFRESH == 1:
+                good_then, pairs_then = hidden_labels(emit, t, there, part, gold)
+            good, pairs = batch_marginals(emit, t, there)
+            slope_w = np.einsum("bt,btf->f", (good_then - good) * there * share, inputs)
+            slope_t = (((pairs_then - pairs) * both[:, :, None, None]) * share[:, :, None, None]).sum(axis=(0, 1))
+            if step <= WARM:  # with one label for all lines, transitions would learn to explain everything
+                slope_t = np.zeros(4)
+            slope = np.concatenate([slope_w, slope_t.ravel()]) - held_back * theta
             m, v = 0.9 * m + 0.1 * slope, 0.99 * v + 0.01 * slope**2
             theta = theta + 0.08 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
         field.weights, field.transitions = theta[:FEATURES], theta[FEATURES:].reshape(2, 2)
+        good, _ = batch_marginals(inputs @ field.weights, field.transitions, there)
+        field.slope, field.middle = fitted_logistic((good * part).sum(axis=1), gold)
         return field
 
     def marginals(self, own: np.ndarray) -> np.ndarray:
@@ -122,8 +147,43 @@ class LineField:
 
     def score(self, text: str) -> float:
         own, weight = line_features(text)
-        good = self.marginals(own)
-        return float(min(1.0, max(0.0, (good * weight).sum() / weight.sum())))
+        share = (self.marginals(own) * weight).sum() / weight.sum()
+        return float(_sigmoid(self.slope * (share - self.middle)))
+
+
+def hidden_labels(emit: np.ndarray, t: np.ndarray, there: np.ndarray, part: np.ndarray, gold: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The marginals closest to the field's own, sharpened, under which at least MOST of each chain's text is on the side of its label.
+
+    They are the field's with one number added to the emissions of a chain, in proportion to its lines' lengths: the least that does it, by bisection.
+    """
+    emit = SHARPER * emit  # else a field that is unsure of its lines stays so
+    side = np.where(gold == 1, 1.0, -1.0)[:, None]
+    pull = part / np.maximum(part.max(axis=1, keepdims=True), 1e-9)
+    low, high = np.zeros((len(gold), 1)), np.full((len(gold), 1), 60.0)
+    for k in range(8):
+        middle = (low + high) / 2 if k else low
+        good, pairs = batch_marginals(emit + side * middle * pull, t, there)
+        held = (np.where(gold[:, None] == 1, good, 1 - good) * part).sum(axis=1, keepdims=True) >= MOST
+        if k:
+            low, high = np.where(held, low, middle), np.where(held, middle, high)
+        else:
+            high = np.where(held, 0.0, high)
+    return batch_marginals(emit + side * high * pull, t, there)
+
+
+def fitted_logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
+    """Slope and middle of the logistic function that fits labels y best, the two labels weighing the same; a small penalty keeps the slope finite."""
+    weight = np.where(y == 1, 0.5 / max(1, (y == 1).sum()), 0.5 / max(1, (y == 0).sum()))
+    a, b = 4.0, -2.0  # a * x + b
+    for _ in range(50):  # Newton
+        p = _sigmoid(a * x + b)
+        g, h = weight * (y - p), weight * p * (1 - p)
+        slope = np.array([(g * x).sum() - 1e-3 * a, g.sum() - 1e-3 * (b + a / 2)])
+        curve = np.array([[(h * x * x).sum() + 1e-3 + 2.5e-4, (h * x).sum() + 5e-4], [(h * x).sum() + 5e-4, h.sum() + 1e-3]])
+        step = np.linalg.solve(curve, slope)
+        a, b = a + np.clip(step[0], -4, 4), b + np.clip(step[1], -4, 4)
+    a = max(a, 0.1)
+    return float(a), float(-b / a)
 
 
 def chain_marginals(emit: list[float], transitions: np.ndarray) -> np.ndarray:
@@ -173,14 +233,15 @@ def batch_marginals(emit: np.ndarray, t: np.ndarray, there: np.ndarray) -> tuple
 
 def _train_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        out = ([], [])
+        out = ([], [], [])
         for label, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            own, _ = line_features(text.as_py())
+            own, weight = line_features(text.as_py())
             starts = list(range(0, len(own), SEGMENT))
             for k in sorted({round(i * (len(starts) - 1) / max(1, PER_DOC - 1)) for i in range(PER_DOC)}):
                 out[0].append(label)
                 out[1].append(own[starts[k] : starts[k] + SEGMENT].astype("<f4").tobytes())
-        yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), pa.array(out[1], pa.binary())], names=["label", "own"])
+                out[2].append(weight[starts[k] : starts[k] + SEGMENT].astype("<f4").tobytes())
+        yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), pa.array(out[1], pa.binary()), pa.array(out[2], pa.binary())], names=["label", "own", "weight"])
 
 
 def _score_rows(field: LineField):
@@ -199,7 +260,7 @@ def held_out(doc_id: str = "doc_id"):
 def fit_quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> LineField:
     """The field, fitted on at most `sample` documents of each label: those with the smallest hashes of their doc_ids among the rows that aren't held out.
 
-    labels: doc_id, quality (1 good, 0 bad). Null labels and ids are ignored; of contradicting labels of a document the lower one counts.
+    Of each of these documents PER_DOC chains of SEGMENT lines are taken, spread over its whole length; a document of fewer lines is taken whole. labels: doc_id, quality (1 good, 0 bad). Null labels and ids are ignored; of contradicting labels of a document the lower one counts.
     Without labels every score is a half; with one label only, all scores are near it.
     """
     rows = labels.select("doc_id", F.col("quality").cast("int").alias("label")).where("doc_id IS NOT NULL AND label IN (0, 1)")
@@ -211,8 +272,9 @@ def fit_quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Lin
     ids = [(r.doc_id, r.label) for p in picked for r in p.collect()]  # 2 * sample rows at most
     chosen = docs.sparkSession.createDataFrame(ids, "doc_id long, label int")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
-    found = texts.select("label", "text").mapInArrow(_train_rows, "label int, own binary").orderBy(F.xxhash64("own", "label"), "own", "label").limit(2 * sample * PER_DOC).collect()
-    return LineField.fit([(np.frombuffer(r.own, dtype="<f4").reshape(-1, OWN).astype(float), r.label) for r in found])
+    found = texts.select("label", "text").mapInArrow(_train_rows, "label int, own binary, weight binary").orderBy(F.xxhash64("own", "label"), "own", "label").limit(2 * sample * PER_DOC).collect()
+    chains = [(np.frombuffer(r.own, dtype="<f4").reshape(-1, OWN).astype(float), r.label) for r in found]
+    return LineField.fit(chains, [np.frombuffer(r.weight, dtype="<f4").astype(float) for r in found])
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
@@ -237,6 +299,10 @@ def _keep(field: LineField, text: int):
 
 
 def quality_filter(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """The rows of docs that the classifier predicts to be good, with all their columns."""
+    """The rows of docs that the classifier predicts to be good, with all their columns.
+
+    Each row is judged by its own text, a null text as an empty one, so null and repeated doc_ids and repeated rows need no care. An empty table gives an
+    empty result; columns of any other names pass through.
+    """
     field = fit_quality(docs, labels, sample)
     return docs.mapInArrow(_keep(field, docs.columns.index("text")), docs.schema)

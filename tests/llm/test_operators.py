@@ -569,6 +569,38 @@ def test_quality_on_held_out_documents(spark):
     assert kept == {r.doc_id for r in out if r.predicted}
 
 
+def mixed_document(seed, good):
+    """Lines with the label of each: good ones are sentences, bad ones shouts or menus, in runs of two to five; `good` is the share of good runs."""
+    r, lines = random.Random(seed), []
+    while len(lines) < 16:
+        kind = r.random() < good
+        for _ in range(r.randrange(2, 6)):
+            body = prose(r.randrange(10**6), 10, 50_000)
+            lines.append((body.capitalize() + ".", 1) if kind else (body.upper().replace(" ", r.choice([" > ", "!!! ", " # "])), 0))
+    return [x for x, _ in lines], [y for _, y in lines]
+
+
+def test_lines_of_mixed_documents_get_their_own_labels():
+    chains, lengths = [], []
+    for i in range(240):
+        lines, kinds = mixed_document(i, 0.85 if i % 2 else 0.15)
+        own, weight = quality.line_features("\n".join(lines))
+        chains.append((own, int((np.array(kinds) * weight).sum() * 2 > weight.sum())))
+        lengths.append(weight)
+    field = quality.LineField.fit(chains, lengths)
+    right = lone = seen = alone = 0
+    for i in range(1000, 1060):
+        lines, kinds = mixed_document(i, 0.5)
+        good = field.marginals(quality.line_features("\n".join(lines))[0]) >= 0.5
+        right += sum(good == np.array(kinds))
+        seen += len(kinds)
+        lone += sum(g == k for g, k, share in zip(good, kinds, [np.mean(kinds)] * len(kinds)) if (share > 0.5) != k)
+        alone += sum((np.mean(kinds) > 0.5) != k for k in kinds)
+    assert right / seen > 0.95 and lone / alone > 0.9  # the lines against their document's kind too
+    stay, change = np.diag(field.transitions).sum(), field.transitions.sum() - np.diag(field.transitions).sum()
+    assert stay > change
+
+
 def test_quality_without_labels_is_a_half(spark):
     out = quality.quality_scores(docs(spark, [(1, "a")]), spark.createDataFrame([], "doc_id long, quality int")).collect()
     assert [(r.score, r.predicted) for r in out] == [(0.5, 1)]
