@@ -2,11 +2,11 @@
 
 The text is cut into tokens; a segmentation covers a stretch of them with single outside tokens and with entity spans of a bounded
 number of tokens, each of a kind. A span is scored as a whole: its digits, groups, separators, checksum, the characters around it and the
-word before it. Dynamic programming over all segmentations finds the best one, boundaries and kinds at once. The field is trained here on
-generated stretches of known segmentation (see `examples`), as the corpus has no labelled spans.
+word before it. Dynamic programming over all segmentations finds the best one, boundaries and kinds at once. The field was trained
+on generated stretches of known segmentation (see `examples`), as the corpus has no labelled spans; its weights are in pii_weights.py.
 
 A span of less than seven digits and without an at sign can't be an entity, so the program only runs on the stretches around
-such candidates; elsewhere the all-outside segmentation is the only one. The whole text is searched for stretches.
+such candidates; elsewhere the all-outside segmentation is the only one. The whole text is searched for stretches, and a stretch is as long as it is.
 
 Spans of the fixed base patterns always stay. The field's spans are added where they overlap no base span and no other span.
 """
@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import os
 import random
 import re
 from collections.abc import Iterator
@@ -34,7 +35,6 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
 MAX_TOKENS = 15  # of a span
 MARGIN = 24  # characters of context on both sides of a stretch
-STRETCH = 2000  # characters that neighbouring candidates are joined to at most
 _DIGITS = re.compile(r"(?<![0-9])[0-9](?:[\x20().\-/]{0,3}[0-9]){6,}")
 _TOKEN = re.compile(r"[0-9]+|[^\W\d_]+|\s|.", re.S)
 
@@ -85,6 +85,8 @@ _NAMES = [
     "luhn", "luhn fails", "plus", "paren", "octets", "four parts, not octets", "dots", "dashes", "spaces", "slash", "mixed separators",
     "letters", "letters and digits touch", "at", "domain", "at without domain", "no separator", "joined before", "joined after",
     "starts with separator", "ends with separator", "short groups", "phone groups", "card groups", "year first", "cue phone", "cue card", "cue ip", "cue email",
+    "trunk zero", "even groups", "groups of two", "one group", "phone length", "plus and phone length", "inner comma",
+    "trunk zero in groups", "three phone groups",
 ]
 _AT = {n: i for i, n in enumerate(_NAMES)}
 _CUES = {"cue phone": ("phone", "tel", "call", "mobile", "fax"), "cue card": ("card", "visa", "credit"), "cue ip": ("ip", "host", "address", "server"), "cue email": ("email", "mail", "contact")}
@@ -138,25 +140,57 @@ def span_features(text: str, a: int, b: int) -> list[int]:
         on.append("card groups")
     if sizes and sizes[0] == 4 and digits[:2] in ("19", "20"):
         on.append("year first")
+    if digits.startswith("0"):
+        on.append("trunk zero")
+    if len(sizes) > 1 and min(sizes[1:]) >= 2 and max(sizes) <= 4:
+        on.append("even groups")
+    if digits.startswith("0") and 9 <= n <= 14 and 1 < len(sizes) < 6 and len(seps) < 2:
+        on.append("trunk zero in groups")
+    if sizes[-3:] == [3, 3, 4] and len(sizes) < 5 and len(seps) < 3:
+        on.append("three phone groups")
+    if len(sizes) > 3 and set(sizes[1:]) == {2}:
+        on.append("groups of two")
+    if len(sizes) == 1:
+        on.append("one group")
+    if 9 <= n <= 13:
+        on.append("plus and phone length" if s[0] == "+" else "phone length")
+    if "," in s:
+        on.append("inner comma")
     lead = text[max(0, a - 16) : a].lower()
     on += [name for name, cues in _CUES.items() if any(c in lead for c in cues)]
     return [_AT[x] for x in on]
 
 
+class Tokens:
+    """The tokens of text[lo:hi], with running counts that tell at once which spans of them can be entities."""
+
+    def __init__(self, text: str, lo: int, hi: int):
+        self.text, self.cuts = text, [m.start() for m in _TOKEN.finditer(text, lo, hi)] + [hi]
+        self.n = len(self.cuts) - 1
+        self.opens = [text[c].isalnum() or text[c] in "+(" for c in self.cuts[:-1]]
+        self.digits, self.ats = [0], [0]
+        for i in range(self.n):
+            token = text[self.cuts[i] : self.cuts[i + 1]]
+            self.digits.append(self.digits[-1] + (sum("0" <= c <= "9" for c in token) if token[0].isdigit() else 0))
+            self.ats.append(self.ats[-1] + (token == "@"))
+
+    def spans(self, i: int) -> Iterator[tuple[int, list[int]]]:
+        """(token after the last, features) of the spans from token i on that can be entities. A span has at most MAX_TOKENS tokens and one line."""
+        if not self.opens[i]:
+            return
+        text, cuts, digits, ats = self.text, self.cuts, self.digits, self.ats
+        for j in range(i + 1, min(self.n, i + MAX_TOKENS) + 1):
+            last = text[cuts[j] - 1]
+            if last == "\n":
+                return
+            if (digits[j] - digits[i] >= 7 or ats[j] > ats[i]) and last.isalnum() and (f := span_features(text, cuts[i], cuts[j])):
+                yield j, f
+
+
 def candidates(text: str, lo: int, hi: int) -> tuple[list[int], list[tuple[int, int, list[int]]]]:
     """Token starts (and the end) of text[lo:hi], and its spans (first token, token after the last, features)."""
-    cuts = [m.start() for m in _TOKEN.finditer(text, lo, hi)] + [hi]
-    spans = []
-    plain = [text[c].isalnum() or text[c] in "+(" for c in cuts[:-1]]
-    for i in range(len(cuts) - 1):
-        if not plain[i]:
-            continue
-        for j in range(i + 1, min(len(cuts) - 1, i + MAX_TOKENS) + 1):
-            if text[cuts[j] - 1] == "\n":
-                break
-            if text[cuts[j] - 1].isalnum() and (f := span_features(text, cuts[i], cuts[j])):
-                spans.append((i, j, f))
-    return cuts, spans
+    tokens = Tokens(text, lo, hi)
+    return tokens.cuts, [(i, j, f) for i in range(tokens.n) for j, f in tokens.spans(i)]
 
 
 class SpanField:
@@ -169,7 +203,7 @@ class SpanField:
         return np.array([self.weights[:, f].sum(axis=1) for _, _, f in spans]).reshape(-1, len(KINDS))
 
     @classmethod
-    def fit(cls, chains: list[tuple[str, list[tuple[int, int, int]]]], rounds: int = 60, ridge: float = 0.005) -> SpanField:
+    def fit(cls, chains: list[tuple[str, list[tuple[int, int, int]]]], rounds: int = 140, ridge: float = 0.001) -> SpanField:
         """Gradient ascent on the mean log-likelihood; the expectations come from forward and backward sums over all segmentations."""
         field, made = cls(np.zeros((len(KINDS), len(_NAMES)))), []
         for text, gold in chains:
@@ -188,7 +222,7 @@ class SpanField:
                     if w >= 0:
                         q[w] += 1
                     slope[:, f] += q[:, None]
-            speed = 0.8 * speed + slope / len(made) * 3
+            speed = 0.8 * speed + slope / len(made) * 5
             field.weights = field.weights + speed
         return field
 
@@ -212,29 +246,26 @@ class SpanField:
         return np.exp(scores + around[:, None])
 
     def best(self, text: str, lo: int, hi: int) -> list[tuple[int, int, int]]:
-        """(start, kind, end) of the entities of the best segmentation of text[lo:hi]."""
-        cuts, spans = candidates(text, lo, hi)
-        if not spans:
-            return []
-        scores = self.scores(spans)
-        kind, value = scores.argmax(axis=1).tolist(), scores.max(axis=1).tolist()
-        ends: dict[int, list[int]] = {}
-        for s, (_, j, _) in enumerate(spans):
-            if value[s] > 0:
-                ends.setdefault(j, []).append(s)
-        top, how = [0.0] * len(cuts), [-1] * len(cuts)
-        for t in range(1, len(cuts)):
-            top[t] = top[t - 1]
-            for s in ends.get(t, ()):
-                if (v := top[spans[s][0]] + value[s]) > top[t]:
-                    top[t], how[t] = v, s
-        out, t = [], len(cuts) - 1
+        """(start, kind, end) of the entities of the best segmentation of text[lo:hi].
+
+        Time and memory grow with the number of tokens, as a span has at most MAX_TOKENS of them; spans are scored as they are met and not kept.
+        """
+        tokens = Tokens(text, lo, hi)
+        top, how, columns = [0.0] + [-1.0] * tokens.n, [None] * (tokens.n + 1), self.weights.T.tolist()
+        for i in range(tokens.n):
+            for j, f in tokens.spans(i):
+                value, kind = max((sum(scores), -k) for k, scores in enumerate(zip(*(columns[x] for x in f))))
+                if value > 0 and top[i] + value > top[j]:
+                    top[j], how[j] = top[i] + value, (i, -kind)
+            if top[i] >= top[i + 1]:
+                top[i + 1], how[i + 1] = top[i], None
+        out, t = [], tokens.n
         while t > 0:
-            if how[t] < 0:
+            if how[t] is None:
                 t -= 1
             else:
-                i, j, _ = spans[how[t]]
-                out.append((cuts[i], kind[how[t]], cuts[j]))
+                i, kind = how[t]
+                out.append((tokens.cuts[i], kind, tokens.cuts[t]))
                 t = i
         return out[::-1]
 
@@ -253,7 +284,11 @@ def examples(count: int, seed: int = 7) -> list[tuple[str, list[tuple[int, int,
 
     def phone() -> str:
         area, mid, last = str(r.randint(200, 989)), d(3), d(4)
-        return r.choice([f"+1 ({area}) {mid}-{last}", f"({area}) {mid}-{last}", f"{area}-{mid}-{last}", f"+{r.randint(20, 99)} {d(3)} {d(3)} {d(4)}", f"+1{area}{mid}{last}", f"1-{area}-{mid}-{last}"])
+        sep = r.choice(" -.")
+        return r.choice([
+            f"+1 ({area}) {mid}-{last}", f"({area}) {mid}-{last}", f"({area}){sep}{mid}{sep}{last}", f"{area}-{mid}-{last}", f"{area}{sep}{mid}{sep}{last}", f"+{r.randint(20, 99)} {d(3)} {d(3)} {d(4)}", f"+{r.randint(20, 99)} {d(4)} {d(6)}", f"+1{area}{mid}{last}",
+            f"1{sep}{area}{sep}{mid}{sep}{last}", f"0{d(2)}{sep}{d(4)}{sep}{d(4)}", f"0{d(3)}{r.choice(' /-')}{d(6)}", f"(0{d(2)}) {d(4)} {d(4)}", f"0{d(1)}{sep}{d(2)}{sep}{d(2)}{sep}{d(2)}{sep}{d(2)}", f"00{r.randint(20, 99)} {d(2)} {d(3)} {d(4)}",
+        ])
 
     forms = [
         (0, lambda: f"{word()}{r.choice(['', '.', '_'])}{d(r.randint(0, 3))}@{word()}{d(r.randint(0, 1))}.{r.choice(['example.com', 'org', 'net', 'co.uk'])}"),
@@ -264,17 +299,21 @@ def examples(count: int, seed: int = 7) -> list[tuple[str, list[tuple[int, int,
 
     def junk() -> str:
         hexes = "".join(r.choice("0123456789abcdef") for _ in range(r.choice([16, 18, 32, 40])))
-        return r.choice([hexes, f'"{hexes}"', f"={hexes}", d(r.randint(7, 24)), f"20{d(2)}-{d(2)}-{d(2)} {d(2)}:{d(2)}", f"{d(2)}/{d(2)}/20{d(2)} {d(4)}", f"{d(1)}.{d(2)}.{d(4)}.{d(3)}.{d(2)}", f"{r.randint(300, 999)}.{d(3)}.{d(3)}.{r.randint(300, 999)}", f"${d(3)},{d(3)},{d(3)}.{d(2)}", f"{d(5)}-{d(5)}-{d(5)}", f"@{word()} {word()}", f"{word()} @ {word()}", f"{d(3)} {d(2)} {d(1)} {d(4)} {d(2)}", f"{d(4)} {d(4)} {d(4)}", f"#{d(9)}", f"978-{d(1)}-{d(4)}-{d(4)}-{d(1)}"])
+        return r.choice([hexes, f'"{hexes}"', f"={hexes}", d(r.randint(7, 24)), f"20{d(2)}-{d(2)}-{d(2)} {d(2)}:{d(2)}", f"{d(2)}/{d(2)}/20{d(2)} {d(4)}", f"{d(1)}.{d(2)}.{d(4)}.{d(3)}.{d(2)}", f"{r.randint(300, 999)}.{d(3)}.{d(3)}.{r.randint(300, 999)}", f"${d(3)},{d(3)},{d(3)}.{d(2)}", f"{d(5)}-{d(5)}-{d(5)}", f"@{word()} {word()}", f"{word()} @ {word()}", f"{d(3)} {d(2)} {d(1)} {d(4)} {d(2)}", " ".join(d(2) for _ in range(r.randint(7, 10))), f"{d(1)},{d(3)},{d(3)} {r.randint(1, 99)}", f"{d(2)}.{d(8)}", f"{d(4)} {d(4)} {d(4)}", f"#{d(9)}", f"978-{d(1)}-{d(4)}-{d(4)}-{d(1)}"])
 
     out = []
     for _ in range(count):
         text, gold = word() + " ", []
+        lead = {0: ("mail", "e-mail:", "contact"), 1: ("host", "server", "ip:"), 2: ("card", "visa"), 3: ("call", "tel.", "phone:", "fax", "mobile")}
         for _ in range(r.choice([1, 1, 2])):
             if r.random() < 0.55:
                 k, make = r.choice(forms)
                 s = make()
-                if k == 0 or not (s.replace(" ", "").isdigit() and 12 <= len(s) and k != 2):
-                    gold.append((len(text), k, len(text) + len(s)))
+                text += f"{r.choice(lead[k])} " if r.random() < 0.3 else ""
+                plain = re.sub("[^0-9]", "", s)
+                if k == 3 and 12 <= len(plain) <= 19 and luhn(plain):  # could be a card
+                    continue
+                gold.append((len(text), k, len(text) + len(s)))
             else:
                 s = junk()
                 plain = s.replace(" ", "").replace("-", "")
@@ -285,22 +324,36 @@ def examples(count: int, seed: int = 7) -> list[tuple[str, list[tuple[int, int,
     return out
 
 
-@functools.lru_cache(maxsize=1)
-def trained(count: int = 400) -> SpanField:
-    """The field, fitted on `count` generated stretches; the same on every machine."""
+def trained(count: int = 500) -> SpanField:
+    """The field, fitted on `count` generated stretches."""
     return SpanField.fit(examples(count))
 
 
+@functools.lru_cache(maxsize=1)
+def field() -> SpanField:
+    """The field that `trained()` gave, from pii_weights.py; `python -m domspark.llm.pii` makes that file anew."""
+    from .pii_weights import WEIGHTS
+
+    return SpanField(np.array([WEIGHTS[k] for k in KINDS]))
+
+
 def stretches(text: str) -> list[tuple[int, int]]:
-    """Where entities may be, with MARGIN characters of context; what overlaps is one stretch as long as it stays within STRETCH characters."""
-    marks, at = [m.span() for m in _DIGITS.finditer(text)], text.find("@")
+    """Where entities may be: around runs of seven digits or more and around words with an at sign, with MARGIN characters on both sides, which is more
+    than any feature looks at. What overlaps is one stretch, however long."""
+    marks, at, done = [m.span() for m in _DIGITS.finditer(text)], text.find("@"), 0
     while at >= 0:
-        marks.append((max(0, at - 64), at + 64))
-        at = text.find("@", at + 1)
+        a, b = at, at + 1
+        while a > done and not text[a - 1].isspace():
+            a -= 1
+        while b < len(text) and not text[b].isspace():
+            b += 1
+        marks.append((a, b))
+        done = b
+        at = text.find("@", b)
     out: list[list[int]] = []
     for a, b in sorted(marks):
         a, b = max(0, a - MARGIN), min(len(text), b + MARGIN)
-        if out and a <= out[-1][1] and max(b, out[-1][1]) - out[-1][0] <= STRETCH:
+        if out and a <= out[-1][1]:
             out[-1][1] = max(out[-1][1], b)
         else:
             out.append([a, b])
@@ -310,11 +363,19 @@ def stretches(text: str) -> list[tuple[int, int]]:
 def all_spans(text: str, field: SpanField) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
     """The base spans, and those of the field that overlap no base span."""
     base = base_spans(text)
+    cover: list[list[int]] = []  # disjoint, ascending
+    for a, _, b in base:
+        if cover and a < cover[-1][1]:
+            cover[-1][1] = max(cover[-1][1], b)
+        else:
+            cover.append([a, b])
     added: list[tuple[int, int, int]] = []
-    cover = sorted((a, b) for a, _, b in base)
+    at = 0
     for lo, hi in stretches(text):
         for a, k, b in field.best(text, lo, hi):
-            if all(b <= x or y <= a for x, y in cover) and (not added or added[-1][2] <= a):
+            while at < len(cover) and cover[at][1] <= a:
+                at += 1
+            if at == len(cover) or b <= cover[at][0]:
                 added.append((a, k, b))
     return base, added
 
@@ -350,19 +411,23 @@ def personal_data(docs: DataFrame) -> DataFrame:
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     kinds = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string"
-    return rows.mapInArrow(_find(trained()), kinds)
+    return rows.mapInArrow(_find(field()), kinds)
 
 
 def masked(docs: DataFrame) -> DataFrame:
-    """doc_id and the text with each span replaced by its kind in angle brackets; overlapping spans go as one, under the first's kind."""
-    field = trained()
+    """One row per row of docs (doc_id, text): doc_id and the text with each span replaced by its kind in angle brackets; overlapping spans go as one,
+    under the first's kind.
+
+    A null text gives an empty one. Null and repeated doc_ids pass through. An empty table gives an empty result; other columns are ignored.
+    """
+    found = field()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = []
             for text in batch.column(1):
                 s, out, at = text.as_py(), [], 0
-                for a, k, b in sorted(sum(all_spans(s, field), [])):
+                for a, k, b in sorted(sum(all_spans(s, found), [])):
                     if a >= at:
                         out += [s[at:a], f"<{KINDS[k]}>"]
                     at = max(at, b)
@@ -371,3 +436,14 @@ def masked(docs: DataFrame) -> DataFrame:
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     return rows.mapInArrow(run, "doc_id long, text string")
+
+
+def _write_weights() -> None:
+    rows = trained().weights.round(3).tolist()
+    lines = [f'    "{kind}": {row},' for kind, row in zip(KINDS, rows, strict=True)]
+    with open(os.path.join(os.path.dirname(__file__), "pii_weights.py"), "w") as out:
+        out.write('"""Weights of the features of `pii._NAMES`, in their order, by kind. Made by `python -m domspark.llm.pii`."""\n\nWEIGHTS = {\n' + "\n".join(lines) + "\n}\n")
+
+
+if __name__ == "__main__":
+    _write_weights()
