@@ -69,7 +69,8 @@ def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    found = decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "overlap", "question_overlap", "answer_overlap")
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -112,8 +113,11 @@ def _quoted(text: str) -> str:
 
 
 _BLANKED = "translate(@, " + _quoted("".join(c for c in license_scan._FROM if c >= " ")) + " || chr(9) || chr(13) || chr(12) || chr(11), " + _quoted(license_scan._TO) + ")"
-_TEMPLATES = ", ".join(f"({i}, {_quoted(name)}, {_quoted(text)})" for i, (name, text) in enumerate(license_scan.TEMPLATES))
+_TEMPLATES = ", ".join(f"({i}, {_quoted(name)}, {_quoted(text)})" for i, (name, text) in enumerate(license_scan.NOTICES))
 
+_BLANKS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+_PLAIN = "list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2f\\x3a-\\x60\\x7b-\\x7f]+'), lambda x: x <> '')"
+_RUNS = "CASE WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i : i + 4], ' ')) END"
 SQL: dict[str, str] = {
     "op2_license_scan": f"""
         WITH templates(template, licence, body) AS (VALUES {_TEMPLATES}),
@@ -131,7 +135,8 @@ SQL: dict[str, str] = {
         sizes AS (SELECT doc_id, line, sqrt(sum(x * x)) AS size FROM scored GROUP BY ALL),
         near AS (SELECT s.doc_id, s.line, g.template, g.licence, round(sum(s.x * g.x / g.size) / any_value(z.size), 6) AS similarity
                  FROM scored s JOIN weights g USING (w) JOIN sizes z ON z.doc_id = s.doc_id AND z.line = s.line GROUP BY s.doc_id, s.line, g.template, g.licence),
-        own AS (SELECT doc_id, line, licence, similarity FROM near WHERE similarity >= 0.8 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY similarity DESC, line, template) = 1),
+        own AS (SELECT doc_id, line, licence, similarity FROM near WHERE similarity >= 0.8
+                QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY licence <> 'all rights reserved' DESC, similarity DESC, line, template) = 1),
         dirs AS (SELECT dir, licence FROM named JOIN own USING (doc_id) WHERE is_file GROUP BY dir, licence QUALIFY row_number() OVER (PARTITION BY dir ORDER BY count(*) DESC, licence) = 1),
         rows AS (SELECT f.doc_id, f.dir, o.licence, o.similarity, o.line, d.licence AS near_licence, d.dir AS near_dir
                  FROM named f LEFT JOIN own o USING (doc_id) LEFT JOIN dirs d ON f.dir = d.dir OR starts_with(f.dir, d.dir || '/')
@@ -140,19 +145,56 @@ SQL: dict[str, str] = {
                CASE WHEN licence IS NOT NULL THEN 'header' WHEN near_licence IS NOT NULL THEN 'directory' END AS origin,
                CASE WHEN licence IS NULL THEN near_dir END AS from_dir FROM rows""",
     "op1_line_dedup": """
-        WITH lines AS (SELECT doc_id, coalesce(text, '') AS t, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
-        hashed AS (SELECT doc_id, l, list_transform(l, lambda x: CAST('0x' || substr(md5(x), 1, 8) AS BIGINT)) AS h FROM lines),
-        numbered AS (SELECT doc_id, unnest(l) AS line, unnest(h) AS h, unnest(range(len(l))) AS i FROM hashed),
-        rolled AS (SELECT doc_id, line, i, (h + coalesce(lag(h) OVER d, 0) * 1000003) % 2147483647 % 3 = 0 AS closes
+        WITH lines AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
+        numbered AS (SELECT doc_id, unnest(l) AS line, unnest(list_transform(l, lambda x: CAST('0x' || substr(md5(x), 1, 8) AS BIGINT))) AS h, unnest(range(len(l))) AS i FROM lines),
+        rolled AS (SELECT doc_id, line, i, (h + coalesce(lag(h) OVER d, 0) * 1000003) % 2147483647 % 3 = 0 AS closes, line || chr(10) || lead(line) OVER d AS pair
                    FROM numbered WINDOW d AS (PARTITION BY doc_id ORDER BY i)),
-        placed AS (SELECT doc_id, line, i, coalesce(sum(CAST(closes AS INT)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS place FROM rolled),
-        chunks AS (SELECT doc_id, place, string_agg(line, chr(10) ORDER BY i) AS chunk, count(*) AS size FROM placed GROUP BY ALL),
-        judged AS (SELECT *, size > 1 AND row_number() OVER (PARTITION BY size > 1, chunk ORDER BY doc_id, place) > 1 AS gone FROM chunks)
-        SELECT doc_id, CAST(sum(size) AS BIGINT) AS n_lines, count(*) AS n_chunks, count(*) FILTER (WHERE gone) AS removed_chunks,
-               CAST(coalesce(sum(size) FILTER (WHERE gone), 0) AS BIGINT) AS removed_lines,
-               length(coalesce(string_agg(chunk, chr(10) ORDER BY place) FILTER (WHERE NOT gone), '')) AS n_chars,
-               sha256(coalesce(string_agg(chunk, chr(10) ORDER BY place) FILTER (WHERE NOT gone), '')) AS text_sha256
-        FROM judged GROUP BY doc_id""",
+        placed AS (SELECT *, coalesce(sum(CAST(closes AS INT)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS place FROM rolled),
+        firsts AS (SELECT doc_id, i, first_value(doc_id) OVER p AS first_doc, first_value(i) OVER p AS first_i FROM placed WHERE pair IS NOT NULL WINDOW p AS (PARTITION BY pair ORDER BY doc_id, i)),
+        later AS (SELECT doc_id, i FROM firsts WHERE doc_id <> first_doc OR i > first_i + 1),
+        gone AS (SELECT doc_id, i, true AS gone FROM later UNION SELECT doc_id, i + 1, true FROM later),
+        judged AS (SELECT p.doc_id, p.i, p.place, p.line, coalesce(g.gone, false) AS gone FROM placed p LEFT JOIN gone g ON p.doc_id = g.doc_id AND p.i = g.i),
+        chunks AS (SELECT doc_id, count(*) AS n_chunks, count(*) FILTER (WHERE whole) AS removed_chunks FROM (SELECT doc_id, place, bool_and(gone) AS whole FROM judged GROUP BY ALL) GROUP BY doc_id),
+        texts AS (SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS removed_lines, coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT gone), '') AS text FROM judged GROUP BY doc_id)
+        SELECT doc_id, n_lines, n_chunks, removed_chunks, removed_lines, length(text) AS n_chars, sha256(text) AS text_sha256 FROM texts JOIN chunks USING (doc_id)""",
+    "op3_near_dup": f"""
+        WITH RECURSIVE words AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
+        sets AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) = 1 THEN w ELSE list_sort(list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) END AS s FROM words),
+        sized AS (SELECT doc_id, len(s) AS n, s, md5(array_to_string(s, chr(10))) AS digest FROM sets),
+        classes AS (SELECT min(doc_id) AS id, any_value(n) AS n, any_value(s) AS s, digest FROM sized WHERE n > 0 GROUP BY digest),
+        held AS (SELECT id, n, unnest(s) AS x FROM classes),
+        seen AS (SELECT id, n, x, count(*) OVER (PARTITION BY x) AS df FROM held),
+        ranked AS (SELECT id, n, x, row_number() OVER (PARTITION BY id ORDER BY df, x) AS k FROM seen),
+        -- two sets that share enough have one of their n - ceil(0.8 n) + 1 rarest members in common
+        rare AS (SELECT id, n, x FROM ranked WHERE k <= n - (n * 80 + 99) // 100 + 1),
+        pairs AS (SELECT DISTINCT a.id AS a, b.id AS b FROM rare a JOIN rare b ON a.x = b.x AND a.id < b.id AND least(a.n, b.n) * 100 >= greatest(a.n, b.n) * 80),
+        links AS (SELECT p.a, p.b FROM pairs p JOIN classes ca ON ca.id = p.a JOIN classes cb ON cb.id = p.b
+                  WHERE 180 * len(list_intersect(ca.s, cb.s)) >= 80 * (ca.n + cb.n)),
+        edges AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+        reached AS (SELECT id AS node, id AS reach FROM classes UNION SELECT r.node, e.b FROM reached r JOIN edges e ON e.a = r.reach),
+        roots AS (SELECT node, min(reach) AS root FROM reached GROUP BY node)
+        SELECT s.doc_id, CAST(s.n AS BIGINT) AS n_shingles, coalesce(r.root, s.doc_id) AS component_id, coalesce(r.root, s.doc_id) = s.doc_id AS kept
+        FROM sized s LEFT JOIN classes c ON c.digest = s.digest AND s.n > 0 LEFT JOIN roots r ON r.node = c.id""",
+    "op7_decontaminate": f"""
+        WITH split AS (SELECT item_id, text, len(rtrim(rtrim(text, {_BLANKS}), '.!?。')) AS body, rtrim(rtrim(text, {_BLANKS}), '.!?。') AS t FROM benchmark WHERE text IS NOT NULL),
+        cut AS (SELECT item_id, text, length(regexp_extract(t, '^([\\s\\S]*[.!?。])[^.!?。]*$', 1)) AS q, t FROM split),
+        parts AS (SELECT row_number() OVER () AS item, item_id, text, CASE WHEN q > 1 AND trim(substr(t, q + 1), {_BLANKS}) <> '' THEN substr(text, 1, q) ELSE text END AS question,
+                  CASE WHEN q > 1 AND trim(substr(t, q + 1), {_BLANKS}) <> '' THEN substr(text, q + 1) ELSE '' END AS answer FROM cut),
+        needles AS (SELECT item, item_id, part, {_PLAIN} AS w FROM (SELECT item, item_id, unnest(['overlap', 'question', 'answer']) AS part, unnest([text, question, answer]) AS text FROM parts)),
+        wanted AS (SELECT DISTINCT item, item_id, part, len(w) AS n, unnest({_RUNS}) AS run FROM needles WHERE len(w) > 0),
+        sizes AS (SELECT item, item_id, part, count(*) AS runs FROM wanted GROUP BY ALL),
+        longest AS (SELECT max(len(w)) AS n FROM needles),
+        texts AS (SELECT doc_id, {_PLAIN} AS w FROM documents),
+        windows AS (SELECT doc_id, start, w[start + 1 : start + 2 * n] AS w FROM (SELECT doc_id, w, n, unnest(range(0, greatest(1, len(w) - n), n)) AS start FROM texts, longest)),
+        lengths AS (SELECT DISTINCT least(n, 5) AS k FROM wanted),
+        held AS (SELECT DISTINCT doc_id, start, array_to_string(w[i : i + k - 1], ' ') AS run FROM (SELECT doc_id, start, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM windows, lengths WHERE len(w) >= k)),
+        found AS (SELECT h.doc_id, h.start, s.item, s.item_id, s.part, count(*) / any_value(s.runs) AS share FROM held h JOIN wanted USING (run) JOIN sizes s USING (item, part) GROUP BY ALL),
+        whole AS (SELECT f.doc_id, f.start, f.item, f.item_id, f.share AS overlap, coalesce(q.share, 0.0) AS question_overlap, CASE WHEN s.item IS NULL THEN 1.0 ELSE coalesce(a.share, 0.0) END AS answer_overlap
+                  FROM found f LEFT JOIN found q ON q.part = 'question' AND q.doc_id = f.doc_id AND q.start = f.start AND q.item = f.item
+                  LEFT JOIN found a ON a.part = 'answer' AND a.doc_id = f.doc_id AND a.start = f.start AND a.item = f.item
+                  LEFT JOIN sizes s ON s.part = 'answer' AND s.item = f.item WHERE f.part = 'overlap' AND f.share >= 0.8)
+        SELECT doc_id, item_id, overlap, question_overlap, answer_overlap FROM whole WHERE question_overlap >= 0.8 AND answer_overlap >= 0.8
+        QUALIFY row_number() OVER (PARTITION BY doc_id, item ORDER BY overlap DESC, question_overlap + answer_overlap DESC, start) = 1""",
     "op4_url_filter": f"""
         WITH rules(verdict, rule_host, rule_path) AS (VALUES {_RULES}),
         urls AS (SELECT page_id, {_HOST} AS host, {_PATH} AS path FROM pages),
