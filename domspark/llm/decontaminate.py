@@ -135,7 +135,9 @@ class Index:
             moved = cursors[: pivot + 1]
             bound, upto = 0.0, math.inf
             for at, (_, _, ends, most, _) in moved:  # what the blocks in which the pivot would be can give
-                block = bisect_left(ends, item, at // POSTING_BLOCK)
+                block = at // POSTING_BLOCK
+                if ends[block] < item:
+                    block = bisect_left(ends, item, block + 1)
                 if block < len(ends):
                     bound += most[block]
                     upto = min(upto, ends[block])
@@ -146,24 +148,36 @@ class Index:
             else:
                 score = 0.0
                 for c in moved:
-                    self._seek(c, item)
-                    if c[0] < len(c[1][0]) and c[1][0][c[0]] == item:
+                    docs = c[1][0]
+                    if docs[c[0]] < item:
+                        self._seek(c, item)
+                    if c[0] < len(docs) and docs[c[0]] == item:
                         score += c[1][1][c[0]]
                 if score >= least:
                     found.append((item, score))
                 target = item + 1
             for c in moved:
-                self._seek(c, target)
+                docs = c[1][0]
+                if c[0] < len(docs) and docs[c[0]] < target:
+                    self._seek(c, target)
             cursors = [c for c in cursors if c[0] < len(c[1][0])]
         return found
 
     @staticmethod
     def _seek(cursor: list, item: int) -> None:
-        """To the first posting that isn't before item: over whole blocks by their last items, then within one."""
+        """From a posting before item to the first one that isn't: over whole blocks by their last items, then within one."""
         at, (docs, _, ends, _, _) = cursor
+        at += 1  # most often the next one
         if at < len(docs) and docs[at] < item:
-            block = bisect_left(ends, item, at // POSTING_BLOCK)
-            cursor[0] = bisect_left(docs, item, max(at, block * POSTING_BLOCK), min(len(docs), (block + 1) * POSTING_BLOCK)) if block < len(ends) else len(docs)
+            block = at // POSTING_BLOCK
+            if ends[block] < item:
+                block = bisect_left(ends, item, block + 1)
+                if block == len(ends):
+                    cursor[0] = len(docs)
+                    return
+                at = block * POSTING_BLOCK
+            at = bisect_left(docs, item, at, min(len(docs), (block + 1) * POSTING_BLOCK))
+        cursor[0] = at
 
     def leaks(self, data: bytes) -> list[tuple[int, float, float, float, float]]:
         """(item_id, score, overlap, question_overlap, answer_overlap) of the items that a text holds."""
@@ -180,7 +194,8 @@ class Index:
             part = starts[s : s + SEGMENT]
             lo, hi = np.searchsorted(at, part), np.searchsorted(at, part + 2 * step)
             sums = np.zeros((hi[-1] - lo[0] + 1, self.bounds.shape[1]))
-            np.cumsum(self.bounds[terms[lo[0] : hi[-1]]], axis=0, out=sums[1:])
+            sums[1:] = self.bounds[terms[lo[0] : hi[-1]]]
+            np.cumsum(sums, axis=0, out=sums)
             bound = (sums[hi - lo[0]] - sums[lo - lo[0]]).max(axis=1)
             for k in np.flatnonzero(bound >= 1 - 1e-5):
                 hits = self.retrieve(np.unique(terms[lo[k] : hi[k]]).tolist())
