@@ -196,9 +196,11 @@ class Index:
             sums = np.zeros((hi[-1] - lo[0] + 1, self.bounds.shape[1]))
             sums[1:] = self.bounds[terms[lo[0] : hi[-1]]]
             np.cumsum(sums, axis=0, out=sums)
-            bound = (sums[hi - lo[0]] - sums[lo - lo[0]]).max(axis=1)
-            for k in np.flatnonzero(bound >= 1 - 1e-5):
-                hits = self.retrieve(np.unique(terms[lo[k] : hi[k]]).tolist())
+            may = sums[hi - lo[0]] - sums[lo - lo[0]] >= 1 - 1e-5
+            for k in np.flatnonzero(may.any(axis=1)):
+                own = np.unique(terms[lo[k] : hi[k]])
+                own = own[self.bounds[own][:, may[k]].any(axis=1)]  # terms of no item of these blocks add nothing to a hit
+                hits = self.retrieve(own.tolist())
                 if not hits:
                     continue
                 window = words[part[k] : part[k] + 2 * step]
