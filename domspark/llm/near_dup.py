@@ -72,6 +72,16 @@ def _sign(size: int, tables: int, width: int):
     return run
 
 
+def sharing(reps: DataFrame) -> DataFrame:
+    """(id, hub) of the ids that share a key, the hub being the least of them.
+
+    A row of reps makes tables squared keys, which Spark's size estimate leaves out: it would broadcast them through the driver, hence the hint.
+    """
+    keys = reps.select("id", F.explode("left").alias("l"), "right").select("id", "l", F.explode("right").alias("r")).select(F.xxhash64("l", "r").alias("key"), "id")
+    first = keys.groupBy("key").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "first")
+    return keys.join(first.hint("merge"), "key").select("id", F.col("first").alias("hub")).distinct()
+
+
 _MEASURED = "hub long, frame long, id long, n long, both long, bits binary, rest binary"
 
 
@@ -100,9 +110,12 @@ def _measure(size: int):
 
 
 def measured(pairs: DataFrame, texts: DataFrame, size: int) -> DataFrame:
-    """Each id's full set by its hub's, for pairs (id, hub). The hub recurs, so its text is joined last and isn't shuffled once a pair."""
-    first = pairs.join(texts.select(F.col("doc_id").alias("id"), F.col("data").alias("data_id")), "id")
-    both = first.join(texts.select(F.col("doc_id").alias("hub"), F.col("data").alias("data_hub")), "hub")
+    """Each id's full set by its hub's, for pairs (id, hub). The hub recurs, so its text is joined last and isn't shuffled once a pair.
+
+    Neither pairs nor texts are broadcast: Spark takes them for as small as their compressed files.
+    """
+    first = pairs.join(texts.select(F.col("doc_id").alias("id"), F.col("data").alias("data_id")).hint("merge"), "id")
+    both = first.join(texts.select(F.col("doc_id").alias("hub"), F.col("data").alias("data_hub")).hint("merge"), "hub")
     return both.select("id", "hub", "data_id", "data_hub").mapInArrow(_measure(size), _MEASURED)
 
 
@@ -213,7 +226,7 @@ def outsider_links(stars: DataFrame, comp: DataFrame, reps: DataFrame, percent:
     blocks = lambda members, size: F.greatest(F.ceil(members / BLOCK), F.ceil(size / BLOCK_BYTES), F.lit(1)).cast("int")
     parts, acrosses = blocks(F.col("members"), F.col("size")), blocks(F.col("members") - F.col("top.m"), F.col("size") - F.col("top.size"))
     hubs = hubs.where("comps > 1 AND members > 2").select("hub", "frame", F.col("top.comp").alias("main"), parts.alias("parts"), acrosses.alias("acrosses"))
-    rows = rows.join(hubs, ["hub", "frame"]).join(reps.select("id", "sketch"), "id")
+    rows = rows.join(hubs, ["hub", "frame"]).join(reps.select("id", "sketch").hint("merge"), "id")
     block = lambda count: F.pmod(F.xxhash64("id"), F.col(count)).cast("int")
     every = lambda count: F.explode(F.sequence(F.lit(0), F.col(count) - 1))
     columns = [c.split()[0] for c in _MEMBER.split(", ")]
@@ -240,9 +253,7 @@ def near_dup(docs: DataFrame, size: int = 5, percent: int = 80, tables: int = 10
     classes = written(classes, "classes")
     reps = signed.join(classes.withColumnRenamed("rep", "doc_id"), ["digest", "doc_id"]).withColumnRenamed("doc_id", "id")
     reps = written(reps.dropDuplicates(["id", "digest"]), "reps")
-    keys = reps.select("id", F.explode("left").alias("l"), "right").select("id", "l", F.explode("right").alias("r")).select(F.xxhash64("l", "r").alias("key"), "id")
-    first = keys.groupBy("key").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "first")
-    shared = keys.join(first, "key").select("id", F.col("first").alias("hub")).distinct()
+    shared = sharing(reps)
     stars = written(measured(written(shared, "shared"), docs, size), "stars")
     comp = components(links(stars, percent))
     found = written(outsider_links(stars, comp, reps, percent, 2 * tables * width, thorough), "links")

@@ -134,6 +134,29 @@ def test_stages_are_what_loops_give(spark, tmp_path):
     assert sum(sum(v) for v in per.values()) == sum(want)
 
 
+def test_near_stage_broadcasts_no_more_rows_than_documents(spark):
+    r = random.Random(9)
+    prose = lambda n: " ".join("".join(r.choice("abcdefghij") for _ in range(6)) for _ in range(n))
+    texts = [prose(60) for _ in range(240)]
+    rows = [(i, t, "en") for i, t in enumerate(texts + [t.rsplit(" ", 1)[0] + " changed" for t in texts[:60]])]
+    docs = corpus_pipeline.written(spark.createDataFrame(rows, "doc_id long, text string, lang string"), "test-broadcasts")
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    store = spark._jsparkSession.sharedState().statusStore()
+    listed = lambda seq: [seq.apply(i) for i in range(seq.size())]
+    old = {e.executionId() for e in listed(store.executionsList())}
+    left = dict(corpus_pipeline.STAGES)["near dedup"](spark, docs, "")
+    assert sorted(x.doc_id for x in left.collect()) == list(range(240))
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    sizes = []
+    for e in listed(store.executionsList()):
+        if e.executionId() not in old:
+            values = store.executionMetrics(e.executionId())
+            kept = [m for n in listed(store.planGraph(e.executionId()).allNodes()) if n.name() == "BroadcastExchange" for m in listed(n.metrics())]
+            found = [values.get(m.accumulatorId()) for m in kept if m.name() == "number of output rows"]
+            sizes += [int(v.get().replace(",", "")) for v in found if v.isDefined()]
+    assert sizes and max(sizes) <= len(rows)
+
+
 def test_registered():
     import __spark_entry__
 
