@@ -59,6 +59,12 @@ def _uncollected(run: Callable) -> Callable:
     return made
 
 
+def _pages(batch: pa.RecordBatch) -> Iterator[tuple]:
+    """The rows of a batch, each made when it is asked for: a batch may hold 64 MB of pages, of which only one at a time is a Python string."""
+    for i in range(batch.num_rows):
+        yield tuple(c[i].as_py() for c in batch.columns)
+
+
 def _batches(batches: Iterator[pa.RecordBatch], size: int, take: Callable, held: Callable, give: Callable) -> Iterator[pa.RecordBatch]:
     """Hands each (page, html, context) to take, and puts out a batch by give whenever held says that there are `size` rows."""
 
@@ -71,7 +77,7 @@ def _batches(batches: Iterator[pa.RecordBatch], size: int, take: Callable, held:
         return None
 
     for b in batches:
-        rows = zip(*(c.to_pylist() for c in b.columns), strict=True)
+        rows = _pages(b)
         while (made := some(rows)) is not None:
             yield made
     yield give()

@@ -1,7 +1,9 @@
 """The scanner and the tree, without Spark."""
 
 import time
+import tracemalloc
 
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -11,6 +13,7 @@ from domspark.plans.errors import HtmlError
 from domspark.plans.scanner import tokenize
 from domspark.plans.columns import node_rows
 from domspark.plans.tree import parse
+from domspark.sources.html import CHUNK, _batches
 
 
 def outline(html, options=Options(), context=None):
@@ -234,6 +237,17 @@ def test_misplaced_content_and_errors_take_linear_time():
         assert time.perf_counter() - start < 20  # a square takes minutes
 
 
+def test_a_batch_of_pages_is_not_copied_to_python_as_a_whole():
+    pages = pa.RecordBatch.from_pydict({"page_id": range(3000), "html": [str(i) * 2500 for i in range(3000)], "context": pa.nulls(3000, pa.string())})
+    taken = []
+    tracemalloc.start()
+    list(_batches(iter([pages]), CHUNK, lambda page, html, context: taken.append((page, len(html))), lambda: 0, lambda: True))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert taken == [(i, len(str(i)) * 2500) for i in range(3000)]
+    assert pages.nbytes > 25e6 and most < 2e6
+
+
 PIECES = ["<", ">", "/", "a", "b ", "=", '"', "'", "!", "--", "[CDATA[", "]]>", "?", "\0", "\n", "é", "&amp;", "<table>", "<td>", "</tr>", "<select>", "<option>", "<p>", "</p>", "<script>", "</script", "<title>", "<svg>", "<b>", "</b>", "<i>", "<br>", "<html x>", "<body>", "<head>", "<form>", "<li>", "<!DOCTYPE", "<col>", "<caption>", "</table>", "<a>"]
 
 
