@@ -34,6 +34,7 @@ _ERROR = ERRORS.removeprefix("page_id long, ").replace(" int", ": int").replace(
 WHOLE = f"page_id long, nodes array<struct<{_NODE}>>, errors array<struct<{_ERROR}>>"
 CHUNK = 20_000  # rows of an output batch
 PAGES = 64  # pages of an output batch whose rows are pages
+CHARS = 8 << 20  # characters of html after which an output batch is put out, however few rows it has
 _EMPTY = Tree()
 
 
@@ -66,13 +67,17 @@ def _pages(batch: pa.RecordBatch) -> Iterator[tuple]:
 
 
 def _batches(batches: Iterator[pa.RecordBatch], size: int, take: Callable, held: Callable, give: Callable) -> Iterator[pa.RecordBatch]:
-    """Hands each (page, html, context) to take, and puts out a batch by give whenever held says that there are `size` rows."""
+    """Hands each (page, html, context) to take, and puts out a batch by give whenever held says that there are `size` rows, or CHARS were taken."""
+    chars = 0
 
     @_uncollected
     def some(rows: Iterator) -> pa.RecordBatch | None:
+        nonlocal chars
         for page, html, context in rows:
             take(page, html or "", context)
-            if held() >= size:
+            chars += len(html or "")
+            if held() >= size or chars >= CHARS:
+                chars = 0
                 return give()
         return None
 

@@ -13,7 +13,7 @@ from domspark.plans.errors import HtmlError
 from domspark.plans.scanner import tokenize
 from domspark.plans.columns import node_rows
 from domspark.plans.tree import parse
-from domspark.sources.html import CHUNK, _batches
+from domspark.sources.html import CHARS, CHUNK, _batches
 
 
 def outline(html, options=Options(), context=None):
@@ -248,6 +248,18 @@ def test_a_batch_of_pages_is_not_copied_to_python_as_a_whole():
     assert pages.nbytes > 25e6 and most < 2e6
 
 
+def test_long_pages_are_put_out_before_there_are_many_rows():
+    pages = pa.RecordBatch.from_pydict({"page_id": range(40), "html": ["x" * (1 << 20)] * 40, "context": pa.nulls(40, pa.string())})
+    taken, given = [], []
+
+    def give():
+        given.append(len(taken))
+        taken.clear()
+        return given[-1]
+
+    assert list(_batches(iter([pages]), CHUNK, lambda page, *_: taken.append(page), lambda: len(taken), give)) == [*[CHARS >> 20] * (40 // (CHARS >> 20)), 0]
+
+
 PIECES = ["<", ">", "/", "a", "b ", "=", '"', "'", "!", "--", "[CDATA[", "]]>", "?", "\0", "\n", "é", "&amp;", "<table>", "<td>", "</tr>", "<select>", "<option>", "<p>", "</p>", "<script>", "</script", "<title>", "<svg>", "<b>", "</b>", "<i>", "<br>", "<html x>", "<body>", "<head>", "<form>", "<li>", "<!DOCTYPE", "<col>", "<caption>", "</table>", "<a>"]
 
 
